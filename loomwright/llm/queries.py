@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, exact_dedup, license_scan, mixing, simhash, token_counts, toxicity
+from loomwright.llm import bpe, exact_dedup, license_scan, mixing, secret_scan, simhash, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.scan(documents(spark, sf_dir))
+    return secret_scan.digest(found)
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_documents(documents(spark, sf_dir), form="text")
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_toxicity": op10_toxicity,
 }
