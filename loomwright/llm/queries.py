@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, exact_dedup, license_scan, mixing, secret_scan, simhash, token_counts, toxicity
+from loomwright.llm import bpe, exact_dedup, license_scan, mixing, scaled_sketch, secret_scan, simhash, token_counts, toxicity, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.digest(scaled_sketch.fingerprint_documents(documents(spark, sf_dir)))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = url_filter.filter_urls(url_filter.dated_captures(pages), url_filter.sample_list(pages))
+    return found.withColumn("day", F.col("day").cast("string"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -58,10 +68,12 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_mix_sources": op5_mix_sources,
+    "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op6_url_filter": url_filter.SQL, "op7_exact_dedup": OP7_SQL}
