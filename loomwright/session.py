@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -23,6 +24,15 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import the package from where the driver has it; clusters get it as --py-files or installed."""
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment
+    if folder not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (folder, known.get("PYTHONPATH")) if x)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset, a temporary one of this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
