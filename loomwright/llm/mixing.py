@@ -28,7 +28,7 @@ def targets(sizes: list[int], weights: list[float], ceiling: float = 3.0) -> lis
         rate = left / sum(weights[k] for k in open_)
         full = {k for k in open_ if rate * weights[k] > ceiling * sizes[k]}
         for k in sorted(full or open_):
-            out[k] = ceiling * sizes[k] if full else rate * weights[k]
+            out[k] = float(ceiling * sizes[k]) if full else rate * weights[k]
         if not full:
             break
         left -= sum(out[k] for k in sorted(full))
@@ -59,21 +59,22 @@ def sainte_lague(shares: list[float], seats: int, most: list[int] | None = None)
     return won
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), ceiling: int = 3, block: int = 64, shard_rows: int = 2000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), ceiling: int = 3, block: int = 16, shard_rows: int = 2000, max_shards: int = 100_000, seed: int = 7) -> DataFrame:
     """One row per document: id_col, source, size, source_size, target, taken.
 
     Sources in code point order, null last, weigh ``weights`` in turn. taken counts words, repeats included. A null or
     empty text has size 0 and gives nothing, as does a source of such texts. Repeated rows are documents of their own;
     rows that agree in id, source and size are alike, so their order doesn't matter. The result depends on seed and
-    rows only, not on partitions. Per source and shard (of about shard_rows documents) one row of numbers reaches the
-    driver; documents don't.
+    rows only, not on partitions. Per source and shard one row of numbers reaches the driver; documents don't. A shard has
+    about shard_rows documents, more where there would be over max_shards of them besides one for each source.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(SIZE)).cast("long").alias("size")), "sizes")
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
     counts.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
     goal = targets([r["size"] for r in counts], [weights[k % len(weights)] for k in range(len(counts))], ceiling)
-    shards = [1 + r["n"] // shard_rows for r in counts]
+    per_shard = max(shard_rows, sum(r["n"] for r in counts) // max_shards)
+    shards = [1 + r["n"] // per_shard for r in counts]
     spark = docs.sparkSession
     kind = dict(rows.dtypes)["source"]
     sources = durable(spark.createDataFrame([(r["source"], r["size"], g, s) for r, g, s in zip(counts, goal, shards, strict=True)], f"of_source {kind}, source_size bigint, target double, shards int"), "sources")
@@ -94,11 +95,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = durable(spark.createDataFrame(steps, f"of_source {kind}, of_shard int, times bigint, more bigint, blocks bigint"), "quotas")
     dealt = streams.join(F.broadcast(plan) if len(steps) < 10_000 else plan, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")), "left")
     stop = F.col("start") + F.col("size")
-    shift = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("blocks"))
-    chosen = lambda b: F.pmod(b + shift, F.col("blocks")) < F.col("more")
-    span = lambda b: F.least(stop, (b + 1) * block) - F.greatest(F.col("start"), b * block)
-    extra = F.aggregate(F.sequence(F.floor(F.col("start") / block), F.floor((stop - 1) / block)), F.lit(0).cast("bigint"), lambda a, b: a + F.when(chosen(b), span(b)).otherwise(F.lit(0)))
-    taken = F.when((F.col("size") > 0) & F.col("blocks").isNotNull(), F.col("size") * F.col("times") + F.when(F.col("more") > 0, extra).otherwise(F.lit(0))).otherwise(F.lit(0))
+    # the run of blocks taken once more starts at lead and may go on from the stream's start
+    lead = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("blocks"))
+    over = F.greatest(lead + F.col("more") - F.col("blocks"), F.lit(0))
+    shared = lambda a, b: F.greatest(F.least(stop, b * block) - F.greatest(F.col("start"), a * block), F.lit(0))
+    extra = shared(lead, lead + F.col("more") - over) + shared(F.lit(0), over)
+    taken = F.when((F.col("size") > 0) & F.col("blocks").isNotNull(), F.col("size") * F.col("times") + extra).otherwise(F.lit(0))
     return dealt.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
