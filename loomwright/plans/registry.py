@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "lang_id_docs"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from loomwright.plans import customers, models, neighbors, series, text  # noqa: F401
+from loomwright.plans.catalog import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "phrase_weights_top100"
