@@ -266,11 +266,11 @@ def negative_prune(spark: SparkSession, sf: str) -> DataFrame:
     return M.prune_negatives(predicted(spark, sf).select("doc_id", "label", "p")).withColumn("p", F.round("p", 6))
 
 
-@query("score_combine", f"WITH {PREDICTED_SQL}, o AS (SELECT doc_id, least(octet_length(encode(text)) / 8000.0::DOUBLE, 1.0) AS p2 FROM documents) SELECT doc_id, round(p, 6) AS p_next, round(p * (1 - p2), 6) AS p_only, round(1 - (1 - p) * (1 - p2), 6) AS p_any FROM pred JOIN o USING (doc_id)")
+@query("score_combine", f"WITH {PREDICTED_SQL}, o AS (SELECT doc_id, least(octet_length(encode(text)) / 8000.0::DOUBLE, 1.0) AS p2 FROM documents) SELECT doc_id, round(p, 10) AS p_next, round(p * (1 - p2), 10) AS p_only, round(1 - (1 - p) * (1 - p2), 10) AS p_any FROM pred JOIN o USING (doc_id)")
 def score_combine(spark: SparkSession, sf: str) -> DataFrame:
     other = table(spark, sf, "documents").select("doc_id", F.least(F.octet_length("text") / 8000.0, F.lit(1.0)).alias("p2"))
     joined = predicted(spark, sf).join(other, "doc_id")
-    return joined.select("doc_id", F.round("p", 6).alias("p_next"), F.round(F.col("p") * (1 - F.col("p2")), 6).alias("p_only"), F.round(1 - (1 - F.col("p")) * (1 - F.col("p2")), 6).alias("p_any"))
+    return joined.select("doc_id", F.round("p", 10).alias("p_next"), F.round(F.col("p") * (1 - F.col("p2")), 10).alias("p_only"), F.round(1 - (1 - F.col("p")) * (1 - F.col("p2")), 10).alias("p_any"))
 
 
 @query("nth_match", f"WITH {USERS_SQL} SELECT user_id, target FROM (SELECT *, row_number() OVER (PARTITION BY loc_cat ORDER BY user_id) AS r FROM users WHERE NOT tt_none AND loc_geo_x > 0) WHERE r = 5")
