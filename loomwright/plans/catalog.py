@@ -22,5 +22,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder; spread: for work that is heavy by row, deal it out where it has fewer splits than there are cores.
+
+    A table that large clusters are for has far more splits than that, and is read as it lies.
+    """
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if spread and found.rdd.getNumPartitions() < cores else found

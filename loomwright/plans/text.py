@@ -14,6 +14,10 @@ from loomwright.plans.catalog import QUERIES, SQL, query, table
 CLEAN = C.PRINTABLE.sql("text")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents", spread=True)
+
+
 def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -25,7 +29,7 @@ def listed(words) -> str:
 @query("size_filter", "SELECT lang, count(*) AS n_docs, count(*) FILTER (strlen(text) < 1000) AS n_small, count(*) FILTER (strlen(text) >= 1000) AS n_kept, sum(CASE WHEN strlen(text) >= 1000 THEN strlen(text) ELSE 0 END)::BIGINT AS kept_bytes FROM documents GROUP BY lang")
 def size_filter(spark: SparkSession, sf: str) -> DataFrame:
     size = F.octet_length("text")
-    return table(spark, sf, "documents").groupBy("lang").agg(
+    return texts(spark, sf).groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"), F.count_if(size < 1000).alias("n_small"), F.count_if(size >= 1000).alias("n_kept"), F.sum(F.when(size >= 1000, size).otherwise(0)).cast("long").alias("kept_bytes")
     )
 
@@ -46,7 +50,7 @@ CHAINS = {
 
 def _register_chain(name: str, steps: list[C.Step]) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return table(spark, sf, "documents").select("doc_id", C.chain(C.printable(F.col("text")), steps).alias("clean"))
+        return texts(spark, sf).select("doc_id", C.chain(C.printable(F.col("text")), steps).alias("clean"))
 
     query(name, f"SELECT doc_id, {C.chain_sql(CLEAN, steps)} AS clean FROM documents")(run)
 
@@ -66,7 +70,7 @@ R_STOP = [*L.STOP_WORDS["en"], *C.R_STOP_WORDS_ADDED.split()]
 
 @query("r_map01", f"SELECT doc_id, {C.chain_sql(f'lower({CLEAN})', C.r_steps(R_STOP))} AS clean FROM documents")
 def r_map01(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", C.r_normalise(C.printable(F.col("text")), R_STOP).alias("clean"))
+    return texts(spark, sf).select("doc_id", C.r_normalise(C.printable(F.col("text")), R_STOP).alias("clean"))
 
 
 def sentences_sql(text: str) -> str:
@@ -76,7 +80,7 @@ def sentences_sql(text: str) -> str:
 
 @query("sentence_split", f"SELECT doc_id, len(s) AS n_sentences, list_max(list_transform(s, lambda x: length(x))) AS longest, len(list_filter(s, lambda x: regexp_matches(x, {q(C.ALL_UPPER)}))) AS n_upper FROM (SELECT doc_id, {sentences_sql(CLEAN)} AS s FROM documents)")
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", nlp.sentences(C.printable(F.col("text"))).alias("s"))
+    docs = texts(spark, sf).select("doc_id", nlp.sentences(C.printable(F.col("text"))).alias("s"))
     return docs.select("doc_id", F.size("s").alias("n_sentences"), F.array_max(F.transform("s", F.length)).alias("longest"), F.size(F.filter("s", lambda x: x.rlike(C.ALL_UPPER))).alias("n_upper"))
 
 
@@ -87,7 +91,7 @@ FROM (SELECT doc_id, lang, {SCORES_SQL} FROM (SELECT doc_id, lang, list_distinct
 
 
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
-    scored = table(spark, sf, "documents").select("doc_id", "lang", nlp.language_scores(F.col("text"), L.STOP_WORDS).alias("s"))
+    scored = texts(spark, sf).select("doc_id", "lang", nlp.language_scores(F.col("text"), L.STOP_WORDS).alias("s"))
     return scored.select("doc_id", "lang", nlp.best_language(F.col("s")).alias("language"), F.array_max("s")["hits"].alias("hits"))
 
 
@@ -128,7 +132,7 @@ d AS (SELECT word, count(*) AS n FROM w GROUP BY word)
 SELECT coalesce({case_sql('word')}, 'none') AS tag, count(*) AS n_words, sum(n)::BIGINT AS n_tokens, count(*) FILTER (regexp_matches(word, {q(C.ABBREVIATION)})) AS n_abbreviations FROM d GROUP BY 1""",
 )
 def suffix_tags(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.explode(nlp.tokens(C.printable(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = texts(spark, sf).select(F.explode(nlp.tokens(C.printable(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return words.groupBy(F.coalesce(nlp.suffix_tag(F.col("word")), F.lit("none")).alias("tag")).agg(
         F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_tokens"), F.count_if(C.is_abbreviation(F.col("word"))).alias("n_abbreviations")
     )
@@ -142,7 +146,7 @@ SELECT doc_id, array_to_string(list_transform(list_filter(p, lambda x: coalesce(
 )
 def token_filter_kea(spark: SparkSession, sf: str) -> DataFrame:
     pairs = nlp.tagged(nlp.tokens(C.kea_clean(F.col("text"), mail=False)))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(nlp.kea_filter(pairs, L.KEA_STOP), " ").alias("kept"))
+    return texts(spark, sf).select("doc_id", F.array_join(nlp.kea_filter(pairs, L.KEA_STOP), " ").alias("kept"))
 
 
 def lemma_sql(w: str) -> str:
@@ -176,7 +180,7 @@ SELECT doc_id, len(p1) AS n_adjective, len(p2) AS n_noun, array_to_string({one},
 
 def _np_chunks(spark: SparkSession, sf: str, infer: bool) -> DataFrame:
     lines = F.transform(nlp.sentences(C.lda_clean(C.printable(F.col("text")), infer)), lambda s: nlp.encoded(nlp.remap_lda(nlp.tagged(nlp.tokens(C.lower_if_upper(s))))))
-    docs = table(spark, sf, "documents").select("doc_id", F.array_join(lines, "# ").alias("line"))
+    docs = texts(spark, sf).select("doc_id", F.array_join(lines, "# ").alias("line"))
     one, two = nlp.chunks(F.col("line"), [nlp.ADJECTIVE_NOUNS, nlp.NOUNS])
     found = docs.select("doc_id", one.alias("p1"), two.alias("p2"))
     text = lambda c: F.array_join(nlp.lda_phrases(F.col(c), L.LDA_STOP), " ")
@@ -196,7 +200,7 @@ def np_chunks_infer(spark: SparkSession, sf: str) -> DataFrame:
 @query("np_chunks_wcd")
 def np_chunks_wcd(spark: SparkSession, sf: str) -> DataFrame:
     """A fold over tags, which SQL has no plain form for."""
-    docs = table(spark, sf, "documents").select("doc_id", nlp.wcd_text_phrases(C.printable(F.col("text"))).alias("p"))
+    docs = texts(spark, sf).select("doc_id", nlp.wcd_text_phrases(C.printable(F.col("text"))).alias("p"))
     return docs.select("doc_id", F.array_join("p.several", "|").alias("several"), F.array_join("p.single", "|").alias("single"))
 
 
@@ -228,13 +232,13 @@ def section_split(spark: SparkSession, sf: str) -> DataFrame:
 JOIN (SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY text) AS r FROM documents) WHERE r = 1) d ON d.doc_id = l.doc_id""",
 )
 def label_join_train(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").groupBy("doc_id").agg(F.min("text").alias("text"))
+    docs = texts(spark, sf).groupBy("doc_id").agg(F.min("text").alias("text"))
     return table(spark, sf, "labels").join(docs, "doc_id").select("doc_id", "quality", "toxic", F.octet_length("text").alias("n_bytes"))
 
 
 @query("raw_preprocessed_match", f"SELECT r.doc_id, strlen(r.text) AS raw_bytes, strlen(p.clean) AS clean_bytes FROM documents r JOIN (SELECT doc_id, {C.chain_sql(CLEAN, C.KEA)} AS clean FROM documents) p ON r.doc_id = p.doc_id WHERE length(p.clean) > 0")
 def raw_preprocessed_match(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     clean = docs.select("doc_id", F.octet_length(C.kea_clean(F.col("text"), mail=False)).alias("clean_bytes")).filter("clean_bytes > 0")
     return docs.select("doc_id", F.octet_length("text").alias("raw_bytes")).join(clean, "doc_id")
 
@@ -244,7 +248,7 @@ WORDS_SQL = f"SELECT doc_id, unnest(regexp_extract_all(lower({CLEAN}), '[a-z]+')
 
 @query("bow", f"SELECT doc_id, token, count(*) AS n FROM ({WORDS_SQL}) GROUP BY doc_id, token")
 def bow(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.bag_of_words(table(spark, sf, "documents"))
+    return topics.bag_of_words(texts(spark, sf))
 
 
 VOCAB_SQL = f"SELECT token, count(DISTINCT doc_id) AS df FROM ({WORDS_SQL}) GROUP BY token HAVING count(DISTINCT doc_id) <= floor(0.99 * (SELECT count(DISTINCT doc_id) FROM documents))"
@@ -252,13 +256,13 @@ VOCAB_SQL = f"SELECT token, count(DISTINCT doc_id) AS df FROM ({WORDS_SQL}) GROU
 
 @query("vocab_df", f"SELECT token, df, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FROM ({VOCAB_SQL})")
 def vocab_df(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return topics.dictionary(topics.bag_of_words(docs), docs.count())
 
 
 @query("bow_encoded", f"SELECT b.doc_id, d.token_id, b.n FROM (SELECT doc_id, token, count(*) AS n FROM ({WORDS_SQL}) GROUP BY doc_id, token) b JOIN (SELECT token, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id FROM ({VOCAB_SQL})) d ON b.token = d.token")
 def bow_encoded(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     bags = topics.bag_of_words(docs)
     return topics.encode(bags, topics.dictionary(bags, docs.count()))
 
@@ -269,7 +273,7 @@ def bow_encoded(spark: SparkSession, sf: str) -> DataFrame:
 SELECT b.doc_id, b.token, round(b.n * ln((SELECT count(*) FROM documents) / d.df::DOUBLE), 6) AS weight FROM b JOIN d ON b.token = d.token""",
 )
 def tf_idf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return topics.tf_idf(topics.bag_of_words(docs), docs.count())
 
 
@@ -284,7 +288,7 @@ s AS (SELECT doc_id, phrase, count(*) AS tf, round((min(p) - 1) / any_value(n_wo
 
 @query("keyphrase_candidates", f"WITH {CANDIDATES_SQL} SELECT * FROM s")
 def keyphrase_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return keyphrases.candidates(table(spark, sf, "documents"))
+    return keyphrases.candidates(texts(spark, sf))
 
 
 @query(
@@ -294,7 +298,7 @@ r AS (SELECT s.doc_id, s.phrase, round(s.tf * ln((SELECT count(*) FROM documents
 SELECT doc_id, phrase, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank FROM r) WHERE rank <= 10""",
 )
 def keyphrase_topk(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return keyphrases.top_phrases(keyphrases.candidates(docs), docs.count(), 10)
 
 
@@ -313,7 +317,7 @@ SELECT doc_id, CASE WHEN len(keys) = 0 THEN '' ELSE parts[list_position(hits, li
 def _key_sentences(spark: SparkSession, sf: str, stop: list[str] | None) -> DataFrame:
     text = C.printable(F.col("text"))
     long_words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 8)
-    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"), F.slice(F.array_sort(F.array_distinct(long_words)), 1, 5).alias("keys"))
+    docs = texts(spark, sf).select("doc_id", text.alias("text"), F.slice(F.array_sort(F.array_distinct(long_words)), 1, 5).alias("keys"))
     return docs.select("doc_id", nlp.key_sentence(F.col("text"), F.col("keys"), stop).alias("key_sentence"))
 
 
@@ -375,7 +379,7 @@ def phrase_cloud_tagged(spark: SparkSession, sf: str) -> DataFrame:
 )
 def token_filter_stop_anti(spark: SparkSession, sf: str) -> DataFrame:
     stop = spark.createDataFrame([(w,) for w in L.KEA_STOP], "token string")
-    bags = topics.bag_of_words(table(spark, sf, "documents"))
+    bags = topics.bag_of_words(texts(spark, sf))
     return bags.groupBy("token").agg(F.sum("n").alias("n")).join(F.broadcast(stop), "token", "left_anti")
 
 
