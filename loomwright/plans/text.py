@@ -10,6 +10,7 @@ from loomwright.functions import lexicon as L
 from loomwright.functions import nlp
 from loomwright.operators import keyphrases, phrasecloud, topics
 from loomwright.plans.catalog import QUERIES, SQL, query, table
+from loomwright.session import durable
 
 CLEAN = C.PRINTABLE.sql("text")
 
@@ -299,7 +300,7 @@ SELECT doc_id, phrase, score, rank FROM (SELECT *, row_number() OVER (PARTITION
 )
 def keyphrase_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = texts(spark, sf)
-    return keyphrases.top_phrases(keyphrases.candidates(docs), docs.count(), 10)
+    return keyphrases.top_phrases(durable(keyphrases.candidates(docs), "candidates"), docs.count(), 10)
 
 
 KEYS = "system network report energy information service time people".split()
