@@ -74,11 +74,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs without the copies, one row per distinct text; columns unchanged. Only identifiers move, not texts, while few rows go."""
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     rows = durable(exact_groups(docs, id_col, text_col, keep=keep).select(F.col(id_col).alias("row_id"), "kept", "text_sha256"), "kept")
-    same = [F.col(id_col).eqNullSafe(F.col("row_id")), F.col("row_sha") == F.col("text_sha256")]
-    gone = rows.filter(~F.col("kept")).distinct()
-    again = durable(rows.filter("kept").groupBy("row_id", "text_sha256").count().filter("count > 1").drop("count"), "again")
-    left = docs.withColumn("row_sha", sha).join(gone, same, "left_anti")
+    # whole rows are one column, so that none of their names can clash
+    left = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), sha.alias("own_sha"))
+    same = [F.col("own_id").eqNullSafe(F.col("row_id")), F.col("own_sha") == F.col("text_sha256")]
+    gone = rows.filter(~F.col("kept")).select("row_id", "text_sha256").distinct()
+    again = durable(rows.filter("kept").groupBy("row_id", "text_sha256").count().filter("count > 1").select("row_id", "text_sha256"), "again")
+    left = left.join(gone, same, "left_anti")
     if not again.isEmpty():
-        once = left.join(again, same, "left_semi").dropDuplicates([id_col, "row_sha"])
+        once = left.join(again, same, "left_semi").dropDuplicates(["own_id", "own_sha"])
         left = left.join(again, same, "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+    return left.select("row.*")

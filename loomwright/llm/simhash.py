@@ -118,4 +118,5 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one document of each component, that with its smallest id; columns unchanged."""
     gone = near_components(docs, id_col, text_col, **how).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(durable(gone, "gone"), F.col(id_col) == F.col("gone_id"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
+    return rows.join(durable(gone, "gone"), F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")

@@ -231,7 +231,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.filter(F.col("toxic").isin(0, 1) & ~in_fold(id_col)).groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").alias("toxic"))
     drawn = durable(marked.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled), "labelled")
     # at most max_labelled rows of two numbers: a proven bound for the broadcast
-    texts = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("label_id")).select(F.col(text_col).cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text"))
+    texts = own.join(F.broadcast(drawn), F.col("own_id") == F.col("label_id")).select("text", F.col("toxic").cast("int").alias("toxic"))
     keyed = _mapped(texts, lambda t, b: [b.column(0), b.column(1), pa.array([bottom(x) for x in t], pa.int64())], "text string, toxic int, bottom bigint", ["text", "toxic", "bottom"])
     sample = durable(keyed.dropDuplicates(["bottom", "toxic"]), "sample")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}

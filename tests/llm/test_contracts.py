@@ -12,7 +12,7 @@ import xxhash
 
 from loomwright.llm import queries
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, node long, kept string, size long, key string, blob string, run int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, node long, kept string, size long, key string, blob string, run int, times int, label_id long, toxic int, row_id long, row string, own_id long, gone_id long, own_sha string, text_sha256 string, more boolean, shard int, h long"
 
 
 def awkward(spark, folder) -> str:
@@ -24,7 +24,7 @@ def awkward(spark, folder) -> str:
         11: "token: abc token = 'abcdefgh' AKIA0123456789AB " + "0af" * 15 + " secret=passwd=12345678",
         12: "you are an idiot! You are not an idiot. <|endoftext|> ½ ²³ naïve 東京 👩‍👩‍👧  \x85 end", 13: "a b c d e f g h", 14: "a b c d e f g h", 15: "\x00 nul \x1f",
     }
-    rows = [(k, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 5}", None, k, 1, 2, "x", 3, "k", "b", 4) for k, t in texts.items()]
+    rows = [(k, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 5}", None, k, 1, 2, "x", 3, "k", "b", 4, 9, 12, 0, k, "r", k, k, "o", "t", True, 1, 5) for k, t in texts.items()]
     rows += [rows[3], rows[3], rows[12]]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(12, 1, 1), (4, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
