@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.session import durable
@@ -59,17 +59,28 @@ def sainte_lague(shares: list[float], seats: int, most: list[int] | None = None)
     return won
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), ceiling: int = 3, block: int = 16, shard_rows: int = 2000, max_shards: int = 100_000, seed: int = 7) -> DataFrame:
-    """One row per document: id_col, source, size, source_size, target, taken.
+#: Tables of a few numbers a row are broadcast up to this many rows: 10 MB at most.
+MOST_SENT = 100_000
 
-    Sources in code point order, null last, weigh ``weights`` in turn. taken counts words, repeats included. A null or
-    empty text has size 0 and gives nothing, as does a source of such texts. Repeated rows are documents of their own;
-    rows that agree in id, source and size are alike, so their order doesn't matter. The result depends on seed and
-    rows only, not on partitions. Per source and shard one row of numbers reaches the driver; documents don't. A shard has
-    about shard_rows documents, more where there would be over max_shards of them besides one for each source.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(SIZE)).cast("long").alias("size")), "sizes")
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df, to be broadcast if its n rows are few."""
+    return F.broadcast(df) if n <= MOST_SENT else df
+
+
+def n_words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(SIZE)).cast("long")
+
+
+def in_shards(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """rows (id, source, size, ...) with their source's columns, h and shard."""
+    joined = rows.join(small(sources, sources.count()), F.col("source").eqNullSafe(F.col("of_source")))
+    return joined.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")).withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int"))
+
+
+def _deal(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, ceiling: int, block: int, shard_rows: int, max_shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with what they give, sources with their number of shards)."""
+    rows = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
     counts.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
     goal = targets([r["size"] for r in counts], [weights[k % len(weights)] for k in range(len(counts))], ceiling)
@@ -78,10 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     kind = dict(rows.dtypes)["source"]
     sources = durable(spark.createDataFrame([(r["source"], r["size"], g, s) for r, g, s in zip(counts, goal, shards, strict=True)], f"of_source {kind}, source_size bigint, target double, shards int"), "sources")
-    # one row per source, of a few numbers
-    hash_ = F.xxhash64(F.lit(seed), "id", "size")
-    placed = rows.join(F.broadcast(sources) if len(counts) < 10_000 else sources, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("h", hash_).withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int"))
-    placed = placed.select("id", "source", "size", "source_size", "target", "h", "shard")
+    placed = in_shards(rows, sources, seed).select("id", "source", "size", "source_size", "target", "h", "shard")
     order = Window.partitionBy("source", "shard").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     streams = durable(placed.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0))), "streams")
     lengths = streams.groupBy("source", "shard").agg(F.sum("size").alias("length")).collect()
@@ -93,7 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = sainte_lague(shares, round(sum(shares)), [b * ceiling for b in blocks])
     steps = [(counts[k]["source"], s, q // b, q % b, b) for (k, s, _), q, b in zip(lengths, quotas, blocks, strict=True)]
     plan = durable(spark.createDataFrame(steps, f"of_source {kind}, of_shard int, times bigint, more bigint, blocks bigint"), "quotas")
-    dealt = streams.join(F.broadcast(plan) if len(steps) < 10_000 else plan, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")), "left")
+    dealt = streams.join(small(plan, len(steps)), F.col("source").eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")), "left")
     stop = F.col("start") + F.col("size")
     # the run of blocks taken once more starts at lead and may go on from the stream's start
     lead = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("blocks"))
@@ -101,17 +109,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shared = lambda a, b: F.greatest(F.least(stop, b * block) - F.greatest(F.col("start"), a * block), F.lit(0))
     extra = shared(lead, lead + F.col("more") - over) + shared(F.lit(0), over)
     taken = F.when((F.col("size") > 0) & F.col("blocks").isNotNull(), F.col("size") * F.col("times") + extra).otherwise(F.lit(0))
-    return dealt.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return dealt.withColumn("taken", taken.cast("long")), sources
+
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), ceiling: int = 3, block: int = 16, shard_rows: int = 2000, max_shards: int = 100_000, seed: int = 7) -> DataFrame:
+    """One row per document: id_col, source, size, source_size, target, taken.
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    Sources in code point order, null last, weigh ``weights`` in turn. taken counts words, repeats included. A null or
+    empty text has size 0 and gives nothing, as does a source of such texts. Repeated rows are documents of their own;
+    rows that agree in id, source and size are alike, so their order doesn't matter. The result depends on seed and
+    rows only, not on partitions. Per source and shard one row of numbers reaches the driver; documents don't. A shard has
+    about shard_rows documents, more where there would be over max_shards of them besides one for each source.
+    """
+    dealt, _ = _deal(docs, id_col, text_col, source_col, weights, ceiling, block, shard_rows, max_shards, seed)
+    return dealt.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), ceiling: int = 3, block: int = 16, shard_rows: int = 2000, max_shards: int = 100_000, seed: int = 7) -> DataFrame:
     """docs as the mix takes them; columns unchanged.
 
     A document comes round(taken / size) times, halves up: texts stay whole, and only those at the ends of a shard's
-    run of blocks are rounded at all. Documents of size 0 come once.
+    run of blocks are rounded at all. Documents of size 0 come once. Rows that agree in id, source and size come alike.
+
+    Within a shard, those that come once more are a run in the stream's order, or all but a run. So the ends of the run
+    say it for every row, and no text is exchanged: each row is held against the ends of its shard.
     """
-    found = mix(docs, id_col, text_col, source_col, **how)
-    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.lit(1)).cast("int")
-    copies = durable(found.select(F.col(id_col).alias("mix_id"), times.alias("times")).filter("times <> 1 or mix_id is null").distinct(), "copies")
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("mix_id")), "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    return joined.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    dealt, sources = _deal(docs, id_col, text_col, source_col, weights, ceiling, block, shard_rows, max_shards, seed)
+    place = F.struct("h", "id", "size")
+    worded = dealt.filter("size > 0").withColumn("more", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))) > F.coalesce("times", F.lit(0)))
+    ends = worded.groupBy(F.col("source").alias("e_source"), F.col("shard").alias("e_shard")).agg(
+        F.max(F.coalesce("times", F.lit(0))).alias("times"), *(f(F.when(c, place)).alias(n) for n, f, c in (("a", F.min, F.col("more")), ("b", F.max, F.col("more")), ("c", F.min, ~F.col("more")), ("d", F.max, ~F.col("more"))))
+    )
+    ends = durable(ends, "ends")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    held = in_shards(rows, sources, seed).join(small(ends, ends.count()), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("shard") == F.col("e_shard")), "left")
+    around = (F.col("c") > F.col("a")) & (F.col("d") < F.col("b"))
+    once_more = F.when(F.col("a").isNull(), False).when(F.coalesce(around, F.lit(False)), ~place.between(F.col("c"), F.col("d"))).otherwise(place.between(F.col("a"), F.col("b")))
+    times = F.when(F.col("size") > 0, F.coalesce("times", F.lit(0)) + once_more.cast("int")).otherwise(1).cast("int")
+    taken = held.select("row", times.alias("times")).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
