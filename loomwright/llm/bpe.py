@@ -35,7 +35,7 @@ def byte_symbols() -> dict[str, int]:
 class PairIndexBpe:
     """A tokenizer file of the byte-level BPE kind, with a bounded cache of the words seen."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         """max_words: words kept before the cache starts anew; it bounds memory and changes no result."""
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -212,6 +212,21 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def parts(column: pa.Array, rows: int = 2000, most_bytes: int = 6 << 20):
+    """(first row, texts) of runs of a batch's rows, which bound what is merged and held at once; a null is an empty text."""
+    texts: list[str] = []
+    start = size = 0
+    for value in column:
+        text = value.as_py() or ""
+        texts.append(text)
+        size += len(text)
+        if len(texts) == rows or size > most_bytes:
+            yield start, texts
+            start, size, texts = start + len(texts), 0, []
+    if texts:
+        yield start, texts
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", form: str = "array", out_bytes: int = 4 << 20) -> DataFrame:
     """id_col, n_tokens, token_ids, decoded: the ids of every whole text, and what these ids decode to.
 
@@ -224,23 +239,23 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     def run(batches):
         bpe = tokenizer(path or default_path())
         for batch in batches:
-            bpe.fresh_batch()
-            numbers = [bpe.number(x) for x in (v.as_py() or "" for v in batch.column(1))]
-            bpe.settle()
-            keys, rows, size = batch.column(0), [], 0
-            start = 0
-            for k, words in enumerate(numbers):
-                own = words.tolist()
-                decoded = b"".join(map(bpe.raw.__getitem__, own)).decode("utf-8", "replace")
-                ids = ",".join(map(bpe.text.__getitem__, own)) if form == "text" else np.concatenate([bpe.ids[w] for w in own]) if own else np.zeros(0, np.int32)
-                n = ids.count(",") + 1 if form == "text" and ids else len(ids)
-                rows.append((n, ids, decoded))
-                size += len(decoded) + 4 * n
-                if size > out_bytes or k + 1 == len(numbers):
-                    n_tokens, token_ids, text = zip(*rows, strict=True)
-                    kind = pa.string() if form == "text" else pa.list_(pa.int32())
-                    yield pa.record_batch([keys.slice(start, len(rows)), pa.array(n_tokens, pa.int64()), pa.array(list(token_ids), kind), pa.array(text, pa.string())], names=[id_col, "n_tokens", "token_ids", "decoded"])
-                    start, rows, size = k + 1, [], 0
+            for at, texts in parts(batch.column(1)):
+                bpe.fresh_batch()
+                numbers = [bpe.number(x) for x in texts]
+                bpe.settle()
+                keys, rows, size, start = batch.column(0), [], 0, at
+                for k, words in enumerate(numbers, at + 1):
+                    own = words.tolist()
+                    decoded = b"".join(map(bpe.raw.__getitem__, own)).decode("utf-8", "replace")
+                    ids = ",".join(map(bpe.text.__getitem__, own)) if form == "text" else np.concatenate([bpe.ids[w] for w in own]) if own else np.zeros(0, np.int32)
+                    n = ids.count(",") + 1 if form == "text" and ids else len(ids)
+                    rows.append((n, ids, decoded))
+                    size += len(decoded) + 4 * n
+                    if size > out_bytes or k == at + len(numbers):
+                        n_tokens, token_ids, text = zip(*rows, strict=True)
+                        kind = pa.string() if form == "text" else pa.list_(pa.int32())
+                        yield pa.record_batch([keys.slice(start, len(rows)), pa.array(n_tokens, pa.int64()), pa.array(list(token_ids), kind), pa.array(text, pa.string())], names=[id_col, "n_tokens", "token_ids", "decoded"])
+                        start, rows, size = k, [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     ids = "string" if form == "text" else "array<int>"

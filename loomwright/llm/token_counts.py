@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomwright.llm.bpe import PairIndexBpe, default_path, tokenizer
+from loomwright.llm.bpe import PairIndexBpe, default_path, parts, tokenizer
 
 
 def line_sections(text: str) -> list[int]:
@@ -66,19 +66,19 @@ def section_token_counts(docs: DataFrame, path: str | None = None, id_col: str =
     def run(batches):
         bpe = tokenizer(path or default_path())
         for batch in batches:
-            bpe.fresh_batch()
-            texts = [v.as_py() or "" for v in batch.column(1)]
-            numbers = [bpe.number(x) for x in texts]
-            bpe.settle()
-            for start in range(0, len(texts), 256):
-                rows = []
-                for k in range(start, min(start + 256, len(texts))):
-                    cuts = np.array(sections(texts[k]), np.int64)
-                    first, stop = token_spans(bpe, texts[k], numbers[k])
-                    own, crossing = attribute(cuts, first, stop)
-                    rows.append((np.full(len(cuts), k), np.arange(len(cuts)), cuts, np.append(cuts[1:], len(texts[k])), own, crossing, np.full(len(cuts), len(first))))
-                of, *columns = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.record_batch([batch.column(0).take(pa.array(of)), *(pa.array(x.astype(np.int64)) for x in columns)], names=[id_col, *NAMES])
+            for at, texts in parts(batch.column(1)):
+                bpe.fresh_batch()
+                numbers = [bpe.number(x) for x in texts]
+                bpe.settle()
+                for start in range(0, len(texts), 256):
+                    rows = []
+                    for k in range(start, min(start + 256, len(texts))):
+                        cuts = np.array(sections(texts[k]), np.int64)
+                        first, stop = token_spans(bpe, texts[k], numbers[k])
+                        own, crossing = attribute(cuts, first, stop)
+                        rows.append((np.full(len(cuts), at + k), np.arange(len(cuts)), cuts, np.append(cuts[1:], len(texts[k])), own, crossing, np.full(len(cuts), len(first))))
+                    of, *columns = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    yield pa.record_batch([batch.column(0).take(pa.array(of)), *(pa.array(x.astype(np.int64)) for x in columns)], names=[id_col, *NAMES])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}`", f"cast(`{text_col}` as string) as `text`").mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{x} bigint" for x in NAMES))
