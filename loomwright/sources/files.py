@@ -141,7 +141,7 @@ def write_phrases(df: DataFrame, path: str) -> None:
 
 def write_submission(df: DataFrame, path: str, user: str = "user_id", score: str = "score") -> None:
     """#USER_ID,SCORE, unquoted."""
-    df.select(F.col(user).alias("#USER_ID"), F.col(score).alias("SCORE")).write.mode("overwrite").csv(path, header=True, quote="")
+    df.select(F.col(user).alias("#USER_ID"), F.col(score).alias("SCORE")).write.mode("overwrite").option("comment", "!").csv(path, header=True)
 
 
 def matrix_market(bags: DataFrame, n_docs: int, n_tokens: int, n_values: int, path: str) -> None:
