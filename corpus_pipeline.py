@@ -1,6 +1,6 @@
-"""A corpus pipeline of five stages, each the decision of one operator; every stage is written and read again.
+"""A corpus pipeline of six stages, each the decision of one operator; every stage is written and read again.
 
-All columns of documents pass through the first four stages; the last returns what encoding and decoding gave. Each
+All columns of documents pass through the first five stages; the last returns what encoding and decoding gave. Each
 stage takes nulls, empty tables, repeated rows and extra columns as its operator's docstring says.
 """
 
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from loomwright.llm import bpe, exact_dedup, mixing, shingles, simhash, toxicity
 from loomwright.session import shared_folder
 
 
@@ -31,6 +31,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_copies(docs)
 
 
+def shingle_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that pairs of 0.8 or more in five-word shingles connect, the row with the smallest doc_id stays."""
+    return shingles.drop_near_copies(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, so that sources come near their target weights."""
     return mixing.apply_mix(docs)
@@ -47,6 +52,7 @@ STAGES = [
     ("toxicity", toxicity_stage),
     ("exact_dedup", exact_stage),
     ("simhash_near_dedup", near_stage),
+    ("shingle_near_dedup", shingle_stage),
     ("mix_sources", mixing_stage),
     ("bpe_encode_decode", encoding_stage),
 ]
