@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.session import durable
@@ -106,12 +106,22 @@ def boundary(points: DataFrame, tolerance: float = 1e-9, block: int = 2000) -> D
     return least.groupBy("id").agg(F.min("least").alias("least")).filter(F.col("least") >= -tolerance).select("id")
 
 
+def numbered(points: DataFrame, per_range: int = BLOCK) -> tuple[DataFrame, int]:
+    """points with at, 0 to n - 1, and n: rows are numbered within hash ranges, each starting where those before it end."""
+    parts = -(-points.count() // per_range)
+    ranged = durable(points.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(parts, 1)))), "ranged")
+    # one row for each range of about per_range rows
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    starts = counts.withColumn("start", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    found = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1).join(starts, "part")
+    return durable(found.withColumn("at", (F.col("start") + F.col("r")).cast("bigint")).drop("part", "r", "k", "start"), "numbered"), ranged.count()
+
+
 def pair_distances(points: DataFrame, n_pairs: int, seed: int = 0) -> DataFrame:
-    """(a, b, distance) of n_pairs pairs drawn with replacement: each draw picks the rows next to two random hashes."""
+    """(draw, a, b, distance) of n_pairs pairs drawn with replacement: each draw picks the rows that two hashes number."""
+    rows, size = numbered(points.select("id", "v"))
     draws = F.explode(F.sequence(F.lit(1), F.lit(n_pairs)))
-    size = points.count()
-    numbered = durable(points.select("id", "v", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(size, 1))).alias("slot")), "slots")
-    one = numbered.groupBy("slot").agg(F.min_by("id", F.xxhash64(F.lit(seed + 1), "id")).alias("id"), F.min_by("v", F.xxhash64(F.lit(seed + 1), "id")).alias("v"))
-    pick = points.sparkSession.range(1).select(draws.alias("draw")).select("draw", F.pmod(F.xxhash64(F.lit(seed + 2), "draw"), F.lit(max(size, 1))).alias("s"), F.pmod(F.xxhash64(F.lit(seed + 3), "draw"), F.lit(max(size, 1))).alias("t"))
-    left, right = (one.select(F.col("slot").alias(x), F.col("id").alias(a), F.col("v").alias(f"v{a}")) for x, a in (("s", "a"), ("t", "b")))
+    at = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "draw"), F.lit(max(size, 1)))
+    pick = points.sparkSession.range(1).select(draws.alias("draw")).select("draw", at(2).alias("s"), at(3).alias("t"))
+    left, right = (rows.select(F.col("at").alias(x), F.col("id").alias(a), F.col("v").alias(f"v{a}")) for x, a in (("s", "a"), ("t", "b")))
     return pick.join(left, "s").join(right, "t").select("draw", "a", "b", squared_distance(F.col("va"), F.col("vb")).alias("distance"))
