@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomwright.operators import metrics
 from loomwright.session import durable
 
+#: Negatives of one local model.
+POOL = 8000
 
 def balanced(df: DataFrame, label: str, key: str, sizes: dict[int, int], seed: int) -> DataFrame:
     """About sizes[y] rows of each label y, drawn by a seeded hash; all of them where there are fewer."""
@@ -104,7 +106,7 @@ def pruning_rounds(df: DataFrame, numbers: list[str], levels: dict[str, list[str
     return models, pool
 
 
-def local_models(df: DataFrame, vectors: DataFrame, centres: list[tuple[int, list[float]]], numbers: list[str], key: str, k_pool: int = 8000) -> list[Additive]:
+def local_models(df: DataFrame, vectors: DataFrame, centres: list[tuple[int, list[float]]], numbers: list[str], key: str, k_pool: int = POOL) -> list[Additive]:
     """For each centre: its k_pool nearest remaining negatives and all positives make a model; those negatives then leave the pool."""
     from loomwright.operators.neighbors import k_nearest
 
