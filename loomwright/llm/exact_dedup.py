@@ -1,9 +1,12 @@
 """Exact dedup by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Each input partition makes one run: a row per distinct text, with its largest (or smallest) identifier and count. In
-every round, ``fan`` neighbouring runs meet. They exchange their rows by digest range: after round k a run group holds
-``fan**k`` input runs, cut into as many digest ranges, so the number of (group, range) cells stays what it was and no
-task ever merges a whole corpus. A text that fills a third of the table is one row per run from the first round on.
+Each input partition makes one run: a row per distinct text, with its largest (or smallest) identifier and count. Runs
+have numbers of as many bits as there are rounds. In round k, runs whose numbers differ in bit k exchange rows: each
+keeps the digests whose own bit k is its own, and gives the others away. So every row's run number takes over one bit of
+its digest per round, and after the last round run r holds, merged, all digests with the bits r: a binomial exchange. The two runs that meet lie sorted by digest, and a sort aggregation walks through them in that order.
+
+A text that fills a third of the table is one row per run from the start, and two rows per merge. Rounds add up, so
+no more than ``most_runs`` runs are made; input partitions of one number are merged in the first round, many at once.
 
 Texts count as equal if SHA-256, length and a second 64-bit hash agree; the three are the merge key, so that every
 level verifies the identity it merges under.
@@ -14,9 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.rows import kept_once
 from loomwright.session import durable
 
 KEY = ["digest", "n_bytes", "check"]
+#: Rounds after which a table ends the lineage.
+CUT = 4
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,24 +37,32 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def tree_merge(runs: DataFrame, n_runs: int, fan: int = 16, keep: str = "max") -> DataFrame:
-    """Merge (id, KEY, run) rows to KEY, keep_id, group_size in rounds of ``fan`` runs."""
+def merged(runs: DataFrame, keep: str) -> DataFrame:
+    """Rows (run, KEY, keep_id, group_size) of one run and key as one.
+
+    The identifier goes through the aggregation as a struct, which no hash aggregation holds: so Spark sorts each run and
+    merges in order of the key, within the partitions that the exchange by run has made.
+    """
     best = F.max if keep == "max" else F.min
-    merged = runs.groupBy("run", *KEY).agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    width, cells = 1, 1
-    while width < max(n_runs, 1):
-        width *= fan
-        cells = min(width, 65536)
-        # the first two bytes of the digest, in [0, 65536), choose the digest range of this round
-        head = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("long")
-        merged = merged.groupBy(
-            F.floor(F.col("run") / fan).cast("int").alias("run"), F.floor(head * cells / 65536).cast("int").alias("range"), *KEY
-        ).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        merged = merged.drop("range")
-    return merged.drop("run")
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = 16, keep: str = "max") -> DataFrame:
+    none = F.col("keep_id").isNotNull() if keep == "max" else F.col("keep_id").isNull()
+    return runs.groupBy("run", *KEY).agg(best(F.struct(none.alias("rank"), F.col("keep_id").alias("id"))).alias("kept"), F.sum("group_size").alias("group_size")).select("run", *KEY, F.col("kept.id").alias("keep_id"), "group_size")
+
+
+def tree_merge(runs: DataFrame, n_runs: int, keep: str = "max", most_runs: int = 4096) -> DataFrame:
+    """Merge (id, KEY, run) rows to KEY, keep_id, group_size in binomial rounds."""
+    rounds = max(1, (min(n_runs, most_runs) - 1).bit_length())
+    now = runs.select(F.pmod(F.col("run"), F.lit(1 << rounds)).alias("run"), *KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    head = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int")
+    for k in range(rounds):
+        bit = F.lit(1 << k)
+        now = now.withColumn("run", F.col("run").bitwiseAND(F.bitwise_not(bit)).bitwiseOR(head.bitwiseAND(bit)))
+        now = merged(now.repartition("run"), keep)
+        if (k + 1) % CUT == 0 and k + 1 < rounds:
+            now = durable(now, "runs")
+    return now.drop("run")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", most_runs: int = 4096) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256 (lowercase hex of the UTF-8 bytes).
 
     The row with the largest id of each group of equal texts stays (smallest with keep="min"). Null and empty texts are
@@ -58,7 +72,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = durable(digests(docs, id_col, text_col), "digests")
     n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    groups = durable(tree_merge(rows, n_runs, fan, keep).filter("group_size > 1"), "groups")
+    groups = durable(tree_merge(rows, n_runs, keep, most_runs).filter("group_size > 1"), "groups")
     joined = rows.join(groups.withColumnRenamed("digest", "g_digest"), (F.col("digest") == F.col("g_digest")) & (rows["n_bytes"] == groups["n_bytes"]) & (rows["check"] == groups["check"]), "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -70,17 +84,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """docs without the copies, one row per distinct text; columns unchanged. Only identifiers move, not texts, while few rows go."""
+    """docs without the copies, one row per distinct text; columns unchanged. Only identifiers move, not texts, while few rows go.
+
+    Rows that stay and agree in id and text come once; nulls and empty tables are as exact_groups() has them.
+    """
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    rows = durable(exact_groups(docs, id_col, text_col, keep=keep).select(F.col(id_col).alias("row_id"), "kept", "text_sha256"), "kept")
-    # whole rows are one column, so that none of their names can clash
-    left = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), sha.alias("own_sha"))
-    same = [F.col("own_id").eqNullSafe(F.col("row_id")), F.col("own_sha") == F.col("text_sha256")]
-    gone = rows.filter(~F.col("kept")).select("row_id", "text_sha256").distinct()
-    again = durable(rows.filter("kept").groupBy("row_id", "text_sha256").count().filter("count > 1").select("row_id", "text_sha256"), "again")
-    left = left.join(gone, same, "left_anti")
-    if not again.isEmpty():
-        once = left.join(again, same, "left_semi").dropDuplicates(["own_id", "own_sha"])
-        left = left.join(again, same, "left_anti").unionByName(once)
-    return left.select("row.*")
+    found = durable(exact_groups(docs, id_col, text_col, keep=keep).select(F.col(id_col).alias("of_id"), F.col("text_sha256").alias("of_key"), F.col("kept").alias("stays")), "kept")
+    return kept_once(docs, found, F.col(id_col), sha)

@@ -47,13 +47,18 @@ TAG = re.compile(rb"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n*]*)", re.IGNOREC
 ITEM = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 #: How strongly each operator binds.
 BINDS = {"or": 1, "and": 2, "with": 3}
+KNOWN = set(BASE.values()) | {label for label, _ in NOTICES.values()} - {""}
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "unlicense", "cc0", "0bsd", "zlib", "python"}
 
 
 def family(identifier: str) -> str:
-    """The label of a licence identifier: its lower-cased name without version and suffix ("GPL-2.0-only": gpl)."""
-    name = re.sub(r"[-.]?v?\d[\d.]*(-only|-or-later|\+)?.*$", "", identifier.lower().rstrip("+"))
-    return name or identifier.lower()
+    """The label of a licence identifier: its lower-cased name without a version behind a hyphen ("GPL-2.0-only": gpl; "W3C": w3c)."""
+    return re.sub(r"(.)-v?\d[\d.]*(-.*)?$", r"\1", identifier.lower().rstrip("+"))
+
+
+def names_licence(word: str) -> bool:
+    """Whether a word behind an operator can be an identifier: it has a capital, a digit or a hyphen, or is a known name."""
+    return word != word.lower() or bool(re.search(r"[\d-]", word)) or word in KNOWN
 
 
 def parse_expression(text: str) -> list[str] | None:
@@ -61,11 +66,15 @@ def parse_expression(text: str) -> list[str] | None:
     out: list[str] = []
     ops: list[str] = []
     operand = False  # whether the last item ended an operand
-    for item in ITEM.findall(text):
+    items = ITEM.findall(text)
+    for at, item in enumerate(items):
         word = item.lower()
         if word in BINDS:
             if not operand:
                 return None
+            following = next((x for x in items[at + 1 :] if x != "("), None)
+            if following is not None and not names_licence(following):
+                break  # "and", "or" or "with" of the prose behind the expression
             while ops and ops[-1] != "(" and BINDS[ops[-1]] >= BINDS[word]:
                 out.append(ops.pop())
             ops.append(word)

@@ -11,8 +11,8 @@ shard's factor rounded up, and at most ``ceiling`` times its size.
 from __future__ import annotations
 
 import heapq
-import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +39,24 @@ def targets(sizes: list[int], weights: list[float], ceiling: float = 3.0) -> lis
 def sainte_lague(shares: list[float], seats: int, most: list[int] | None = None) -> list[int]:
     """Seats by the highest quotients share / (2k + 1), ties to the earlier; no more than most allows.
 
-    The bulk is given at once: with divisor d, each has its share / d rounded, which the highest quotients would give
-    too; the rest goes one by one. O(n log n) in the number of shares, whatever the number of seats.
+    A share has a seat for each of its quotients that is at least the least quotient that wins. That one is closed in by
+    bisection; the seats of all quotients surely above it are given at once, the few around it one by one. O(n log n) in
+    the number of shares, whatever the number of seats.
     """
     most = most or [seats] * len(shares)
     seats = min(seats, sum(m for m, s in zip(most, shares, strict=True) if s > 0))
-    total = sum(shares)
-    if not seats or total <= 0:
+    if not seats:
         return [0] * len(shares)
-    # one seat less than the rounded share each can't be too many
-    won = [max(0, min(m, math.floor(s * seats / total) - 1)) for s, m in zip(shares, most, strict=True)]
+    share, limit = np.array(shares, float), np.array(most, float)
+    share[share <= 0] = 0
+
+    def above(quotient: float) -> np.ndarray:
+        return np.minimum(limit, np.floor((share / quotient + 1) / 2))
+
+    low, high = 0.0, 2 * share.max()  # none is at least high; at low all seats are given
+    while (middle := (low + high) / 2) not in (low, high):
+        low, high = (low, middle) if above(middle).sum() < seats else (middle, high)
+    won = [int(w) for w in above(high * (1 + 1e-12))]
     heap = [(-s / (2 * w + 1), k) for k, (s, w) in enumerate(zip(shares, won, strict=True)) if s > 0 and w < most[k]]
     heapq.heapify(heap)
     for _ in range(seats - sum(won)):

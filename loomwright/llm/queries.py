@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, exact_dedup, license_scan, mixing, scaled_sketch, secret_scan, simhash, token_counts, toxicity, url_filter
+from loomwright.session import new_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +45,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_scan.scan(documents(spark, sf_dir))
-    return secret_scan.digest(found)
+    return secret_scan.digest(secret_scan.scan_into(new_path(spark, "ledger"), documents(spark, sf_dir)))
 
 
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.session import durable
+
 WIDTH = 5
 #: One hash in 2**BITS is kept.
-BITS = 3
+BITS = 4
+#: Hexadecimal digits of a hash that its printed form has.
+DIGITS = 12
 #: Buckets are at most MOST: their heads are a bounded table.
 MOST = 65_536
-LAST = 2**63 - 1
 
 
 def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
@@ -60,8 +63,8 @@ def merge(a: Column, b: Column) -> Column:
 
 
 def text_of(values: Column) -> Column:
-    """16 hex digits for each hash."""
-    return F.array_join(F.transform(values, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    """The last DIGITS hexadecimal digits of each hash, in the order of the hashes."""
+    return F.array_join(F.transform(values, lambda h: F.lower(F.right(F.lpad(F.hex(h), 16, "0"), F.lit(DIGITS)))), "")
 
 
 def beside_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int = 500) -> DataFrame:
@@ -69,37 +72,48 @@ def beside_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int =
 
     Null ids come last; rows of one id stand in the order of a hash of their text. Null texts count as empty.
     """
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
-    keys = docs.select(key.alias("key"))
-    n = keys.count()
-    coarse = max(1, min(256, n // bucket_rows))
-    fine = max(1, min(MOST // 256, n // (coarse * bucket_rows)))
-    # 257 numbers at most
-    row = keys.agg(F.min("key").alias("a"), F.max("key").alias("b"), F.percentile_approx("key", [k / coarse for k in range(1, coarse)] or [0.5]).alias("cuts")).first()
-    cuts = sorted({row["a"], *(row["cuts"] or [] if coarse > 1 else [])}) if n else [0]
-    ends = [*cuts[1:], (row["b"] or 0) + 1 if n and row["b"] < LAST else LAST]
-    bounds, tops = (F.array(*(F.lit(x).cast("bigint") for x in xs)) for xs in (cuts, ends))
-    at = F.size(F.filter(bounds, lambda b: b <= F.col("key"))) - 1
-    part = F.least(F.floor((F.col("key").cast("double") - F.get(bounds, F.col("at"))) * fine / (F.get(tops, F.col("at")).cast("double") - F.get(bounds, F.col("at")))), F.lit(fine - 1))
-    bucket = (F.col("at") * fine + F.greatest(F.coalesce(part, F.lit(0)), F.lit(0))).cast("int")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    none = F.col(id_col).isNull()
+    keys = docs.select(F.col(id_col).cast("bigint").alias("key"))
+    n, known = keys.agg(F.count(F.lit(1)), F.count("key")).first()
+    # rows without an id stand in the order of their texts' hashes, which is what their buckets are cut by
+    tie = F.when(none, F.xxhash64(text)) if n > known else F.lit(None).cast("bigint")
+    coarse = max(1, min(256, known // bucket_rows))
+    fine = max(1, min(MOST // 256, known // (coarse * bucket_rows)))
+    loose = max(1, min(MOST, (n - known) // bucket_rows))
+
+    def cuts_of(parts: int) -> Column:
+        """The key's quantiles that cut it into so many parts; 255 at most."""
+        return F.percentile_approx("key", [k / parts for k in range(1, parts)]) if parts > 1 else F.array().cast("array<bigint>")
+
+    def passed(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c <= F.col("key")))
+
+    wide = F.array(*(F.lit(x).cast("bigint") for x in keys.agg(cuts_of(coarse)).first()[0] or []))
+    at = F.coalesce(passed(wide), F.lit(0)).alias("at") if coarse > 1 else F.lit(0).alias("at")
+    # each wide part is cut by its own quantiles: 256 rows of 255 numbers at most, however the identifiers cluster
+    narrow = durable(keys.filter("key is not null").select("key", at).groupBy("at").agg(cuts_of(fine).alias("cuts")), "cuts").withColumnRenamed("at", "of")
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("at", at).withColumn("bucket", bucket).drop("at")
+        found = df.withColumn("at", at).join(F.broadcast(narrow), F.col("at") == F.col("of"), "left")
+        share = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * loose).cast("int")
+        own = F.col("at") * fine + F.greatest(F.coalesce(passed(F.col("cuts")), F.lit(0)), F.lit(0))
+        return found.withColumn("bucket", F.when(F.col("none"), coarse * fine + F.least(share, F.lit(loose - 1))).otherwise(own).cast("int")).drop("at", "of", "cuts")
 
     # a row per bucket: MOST at the most, so one window over all and a broadcast are bounded
     order = Window.orderBy("bucket")
-    heads = placed(keys).groupBy("bucket").agg(F.min("key").alias("head"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("bigint").alias("key"), none.alias("none"), tie.alias("tie"), text.alias("text"))
+    heads = placed(keyed.drop("id", "text")).groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("head"))
     heads = heads.select("head", F.lag("bucket").over(order).alias("before"), F.max("bucket").over(Window.partitionBy()).alias("final"))
     heads = heads.select("head", F.coalesce("before", "final").alias("to"), F.col("before").isNull().cast("int").alias("wrap"))
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = placed(docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"), sketch(text).alias("sketch")))
-    rows = rows.join(F.broadcast(heads), F.col("key") == F.col("head"), "left")
+    rows = placed(keyed).withColumn("sketch", sketch(F.col("text")))
+    rows = rows.join(F.broadcast(heads), F.col("key").eqNullSafe(F.col("head.key")) & F.col("tie").eqNullSafe(F.col("head.tie")), "left")
     own = F.struct(F.col("bucket"), F.lit(0).alias("wrap"), F.lit(0).alias("ghost"))
     sent = F.struct(F.col("to").alias("bucket"), F.col("wrap"), F.lit(1).alias("ghost"))
-    rows = rows.withColumn("place", F.explode(F.when(F.col("head").isNull(), F.array(own)).otherwise(F.array(own, sent))))
-    rows = rows.select("id", "key", "text", "sketch", F.xxhash64("text").alias("tie"), "place.bucket", "place.wrap", "place.ghost")
-    w = Window.partitionBy("bucket").orderBy("wrap", "key", "tie")
+    rows = rows.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, sent))))
+    rows = rows.select("id", "none", "key", F.xxhash64("text").alias("tie"), "text", "sketch", "place.bucket", "place.wrap", "place.ghost")
+    w = Window.partitionBy("bucket").orderBy("wrap", "none", "key", "tie", "ghost")
     follow = F.lead(F.struct("text", "sketch")).over(w)
     return rows.withColumn("following", follow).filter("ghost = 0").select("id", "text", "sketch", F.col("following.text").alias("next_text"), F.col("following.sketch").alias("next_sketch"))
 

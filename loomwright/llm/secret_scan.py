@@ -2,20 +2,21 @@
 
 Every text is a blob, named by its SHA-256. The ledger holds, for each (blob, rule version) scanned, its findings. A
 scan takes the blobs of the given rows, drops the pairs that the ledger has, scans each remaining blob once, however
-many rows have it, and joins old and new findings back to all rows. The new pairs are returned too, to be appended.
+many rows have it, and joins the ledger's findings, old and new, back to all rows. A text is read once: for its name, and
+to see whether some rule can match at all. Only texts where one can go on to the ledger and to the scan.
 
 Spans come from lengths alone: a text is split at a rule's matches, and the lengths of pieces and matches, summed up
-in turn, say where each match stands, in code points.
+by a window over the matches of a blob and rule, say where each match stands, in code points.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.session import durable
+from loomwright.session import durable, exists
 
 
 @dataclass(frozen=True)
@@ -51,32 +52,38 @@ def blob_name(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def spans_of(rule: Rule, number: int) -> Column:
-    """array<struct<start, rank, stop>> of a rule's matches in column text; the split is made only where there are any."""
+NONE = "array<struct<start:int,rank:int,stop:int>>"
+
+
+def matches_of(rule: Rule, number: int) -> Column:
+    """array<struct<rank, gap, size, keep>> of a rule's matches in column text, in order: gap is what lies before since the last one."""
     found = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
     pieces = F.split("text", rule.pattern, -1)
-    # with d = the running end of the match before: start = d + length of the piece, stop = start + length of the match
-    walked = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("p")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,stop:int,keep:boolean>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["p"])).alias("start"), F.lit(number).alias("rank"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("stop"), _keep(rule, x["m"]).alias("keep")))).alias("out"),
-        ),
-    )["out"]
-    kept = F.transform(F.filter(walked, lambda s: s["keep"]), lambda s: F.struct(s["start"], s["rank"], s["stop"]))
-    return F.when(F.col("text").rlike(rule.ready), kept).otherwise(F.array().cast("array<struct<start:int,rank:int,stop:int>>"))
+    zipped = F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
+    made = F.transform(zipped, lambda x: F.struct(F.lit(number).alias("rank"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("size"), _keep(rule, x["m"]).alias("keep")))
+    return F.when(F.col("text").rlike(rule.ready), made).otherwise(F.array().cast("array<struct<rank:int,gap:int,size:int,keep:boolean>>"))
 
 
 def _keep(rule: Rule, match: Column) -> Column:
     return F.length(F.regexp_replace(match, rule.value, "")) >= 8 if rule.value else F.lit(True)
 
 
+def may_match(text: Column, rules=RULES) -> Column:
+    """Whether some rule can match in text."""
+    return text.rlike("|".join(f"(?:{r.ready})" for r in rules))
+
+
 def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, spans) of (blob, text): spans by start, then rule; array<struct<start, rank, stop>>. Blobs without any are left out."""
-    found = blobs.filter(F.col("text").rlike("|".join(f"(?:{r.ready})" for r in rules)))
-    spans = F.array_sort(F.flatten(F.array(*(spans_of(r, k) for k, r in enumerate(rules)))))
-    return found.select("blob", spans.alias("spans"))
+    """(blob, spans) of (blob, text): spans by start, then rule; array<struct<start, rank, stop>>. Blobs without any are left out.
+
+    Linear in the number of matches: they are rows, summed up over one blob and rule at a time.
+    """
+    rows = blobs.select("blob", F.posexplode(F.flatten(F.array(*(matches_of(r, k) for k, r in enumerate(rules))))).alias("at", "m")).select("blob", "at", "m.*")
+    # partitioned by blob, as the grouping after it, so that one exchange serves both
+    w = Window.partitionBy("blob", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ended = rows.repartition("blob").withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(w).cast("int")).filter("keep")
+    span = F.struct((F.col("stop") - F.col("size")).alias("start"), "rank", "stop")
+    return ended.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def listed(spans: Column, rules=RULES) -> Column:
@@ -85,30 +92,51 @@ def listed(spans: Column, rules=RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def screened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """(id, blob, text), written: every row with its blob's name, and the text where some rule can match, else null."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return durable(docs.select(F.col(id_col).alias("id"), blob_name(text).alias("blob"), F.when(may_match(text, rules), text).alias("text")), "screened")
+
+
+def scan_unseen(rows: DataFrame, ledger: DataFrame | None, rules=RULES, version: str = RULE_VERSION) -> DataFrame:
+    """Ledger rows (blob, rule_version, spans) of the blobs in screened rows that the ledger lacks for this version."""
+    unseen, candidates = rows.select("blob"), rows.filter("text is not null").select("blob", "text")
+    if ledger is not None:
+        known = ledger.filter(F.col("rule_version") == version).select("blob").distinct()
+        unseen, candidates = (x.join(known, "blob", "left_anti") for x in (unseen, candidates))
+    hits = durable(scan_blobs(candidates.groupBy("blob").agg(F.any_value("text").alias("text")), rules), "hits")
+    return unseen.distinct().join(hits, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast(NONE)).alias("spans"))
+
+
+def findings(rows: DataFrame, ledger: DataFrame, id_col: str = "doc_id", version: str = RULE_VERSION) -> DataFrame:
+    """Screened rows with what the ledger says of their blobs: id_col, blob, spans."""
+    found = ledger.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("b"), "spans").dropDuplicates(["b"])
+    joined = rows.select("id", "blob").join(found, F.col("b") == F.col("blob"), "left")
+    return joined.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(NONE)).alias("spans"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules=RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows).
 
     findings: one row per row of docs, with id_col, blob and spans (an empty array if there are none). Ledger rows are
     (blob, rule_version, spans), one per blob scanned, with findings or not. A null text counts as empty, which has no
-    secrets; repeated rows stay repeated; an empty table gives empty results; other columns are ignored.
+    secrets; a text of any length and any number of matches is scanned whole; repeated rows stay repeated; an empty table
+    gives empty results; other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("blob", blob_name(F.col("text")))
-    paths = durable(texts.select("id", "blob"), "paths")
-    unseen = texts.select("blob", "text")
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == version).select("blob").distinct()
-        unseen = unseen.join(known, "blob", "left_anti")
-    # of each blob one copy is left before the texts are exchanged, and one after
-    once = unseen.groupBy("blob").agg(F.any_value("text").alias("text"))
-    none = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    hits = durable(scan_blobs(once, rules), "hits")
-    fresh = paths.select("blob").distinct()
-    if ledger is not None:
-        fresh = fresh.join(known, "blob", "left_anti")
-    fresh = fresh.join(hits, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", none).alias("spans"))
-    found = hits if ledger is None else durable(hits.unionByName(ledger.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])), "found")
-    joined = paths.join(found.withColumnRenamed("blob", "f_blob"), F.col("blob") == F.col("f_blob"), "left")
-    return joined.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", none).alias("spans")), fresh
+    rows = screened(docs, id_col, text_col, rules)
+    fresh = durable(scan_unseen(rows, ledger, rules, version), "fresh")
+    return findings(rows, fresh if ledger is None else ledger.select(*fresh.columns).unionByName(fresh), id_col, version), fresh
+
+
+def scan_into(path: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, version: str = RULE_VERSION) -> DataFrame:
+    """The findings of scan() by the ledger table at path, to which the pairs scanned now are appended.
+
+    The table is made if it isn't there. All findings, old and new, are read back from it.
+    """
+    spark = docs.sparkSession
+    rows = screened(docs, id_col, text_col, rules)
+    scan_unseen(rows, spark.read.parquet(path) if exists(spark, path) else None, rules, version).write.mode("append").parquet(path)
+    return findings(rows, spark.read.parquet(path), id_col, version)
 
 
 def digest(findings: DataFrame, id_col: str = "doc_id", rules=RULES) -> DataFrame:

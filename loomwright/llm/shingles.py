@@ -1,8 +1,8 @@
-"""Near-dedup by the Jaccard similarity of word shingles: exact prefix filter, then the true similarity of each candidate.
+"""Word shingles of whole texts: hashes, SimHash, and all pairs of a Jaccard similarity by an exact prefix filter.
 
 Two sets with similarity t or more share one of the first n - ceil(t n) + 1 members of each, in any order that all sets
-follow; so no pair is lost. The order puts common shingles last: by the counts of ``SLOTS`` hash slots over an eighth of
-the documents, then by hash. The sample decides only what candidates cost, not which pairs are found.
+follow; so no pair is lost. The order puts common shingles last: by the counts of ``SLOTS`` hash slots over all
+documents, then by hash. The order decides only what candidates cost, not which pairs are found.
 
 A list of more than ``cap`` documents under one shingle isn't joined with itself at once, which would be quadratic: its
 least document is compared with the others and leaves the list, and documents that are connected already need no
@@ -11,6 +11,8 @@ comparison. Lists that still hold several components after ``rounds`` such steps
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,20 +20,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import components
-from loomwright.llm.simhash import LOWER
 from loomwright.session import durable
 
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+WINDOW = 1 << 16
 SLOTS, CHUNK = 1 << 18, 1 << 12
 
 
-def shingle_set(text: str | bytes | None, width: int = 5) -> np.ndarray:
-    """The sorted different XXH64 (seed 42) of a text's shingles; words as for simhash(). No word: empty."""
+def digest_runs(text: str | bytes | None, width: int) -> Iterator[bytes]:
+    """The XXH64 digests (8 bytes each, big-endian, seed 42) of a text's shingles, repeats included, WINDOW at a time.
+
+    Words are what ASCII white space separates, A-Z lower-cased. Fewer words than width make one shingle, none make none.
+    """
     words = (text.encode() if isinstance(text, str) else text or b"").translate(LOWER).split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return
     width = min(width, len(words))
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.fromiter((digest(join(x), 42) for x in zip(*(words[k:] for k in range(width)), strict=False)), np.uint64))
+    digest, join, n = xxhash.xxh64_digest, b" ".join, len(words) - width + 1
+    for start in range(0, n, WINDOW):
+        part = words[start : min(start + WINDOW, n) + width - 1]
+        yield b"".join([digest(join(x), 42) for x in zip(*(part[k:] for k in range(width)), strict=False)])
+
+
+def majority(runs) -> int:
+    """The 64-bit SimHash of digest runs: a bit is 1 if set in over half of them; no digest: 0."""
+    counts, n = np.zeros(64, np.int64), 0
+    for raw in runs:
+        bits = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(bits)
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else 0
+
+
+def members(runs) -> np.ndarray:
+    """The sorted different hashes of digest runs."""
+    return np.unique(np.frombuffer(b"".join(runs), ">u8").astype(np.uint64))
+
+
+def shingle_set(text: str | bytes | None, width: int = 5) -> np.ndarray:
+    """The sorted different hashes of a text's shingles. No word: empty."""
+    return members(digest_runs(text, width))
 
 
 def first_members(found: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -41,91 +69,83 @@ def first_members(found: np.ndarray, counts: np.ndarray, percent: int) -> np.nda
     return found[order[: n - -(-n * percent // 100) + 1]] if n else found
 
 
-def _texts(batch):
-    return (x or b"" for x in (v.as_py() for v in batch.column(1).cast(pa.binary())))
+def _texts(batch, column: str):
+    return (x or b"" for x in (v.as_py() for v in batch.column(column).cast(pa.binary())))
 
 
 def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """How many documents of a seeded eighth have a shingle in each slot. texts: (id, text)."""
+    """How many documents have a shingle in each slot. texts: (text, ...)."""
 
     def count(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for x in _texts(batch):
+            for x in _texts(batch, "text"):
                 total += np.bincount((shingle_set(x, width) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if x else 0
-        if total.any():
-            parts = total.reshape(-1, CHUNK)
-            yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "n"])
+        at = np.flatnonzero(total)
+        for start in range(0, len(at), WINDOW):
+            some = at[start : start + WINDOW]
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
 
-    def add(key, table):
-        total = sum((np.frombuffer(v.as_py(), np.int64) for v in table.column("n")), np.zeros(CHUNK, np.int64))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
-
-    some = texts.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(8)) == 0).mapInArrow(count, "part int, n binary")
-    counts = np.zeros((SLOTS // CHUNK, CHUNK), np.int64)
-    for r in some.groupBy("part").applyInArrow(add, "part int, n binary").collect():  # SLOTS numbers at most
-        counts[r["part"]] = np.frombuffer(r["n"], np.int64)
-    return np.minimum(counts.ravel(), 1 << 30).astype(np.int32)
+    summed = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    chunks = summed.groupBy(F.expr(f"slot div {CHUNK}")).agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))
+    counts = np.zeros(SLOTS, np.int64)
+    for r in chunks.select("slots", "ns").collect():  # SLOTS numbers at most
+        counts[r["slots"]] = r["ns"]
+    return np.minimum(counts, 1 << 30).astype(np.int32)
 
 
 def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, fp, n, keys): 128-bit digest of the shingle set, its size, its first members."""
+    """(node, id, th, fp, sim, n, keys), written: row number, text hash, 128-bit digest of the shingle set, SimHash, size, first members."""
     counts = slot_counts(texts, width)
 
     def run(batches):
         for batch in batches:
-            fps, sizes, keys = [], [], []
-            for x in _texts(batch):
-                found = shingle_set(x, width)
-                fps.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
+            fps, sims, sizes, keys = [], [], [], []
+            for x in _texts(batch, "text"):
+                runs = list(digest_runs(x, width))
+                found = members(runs)
+                sims.append(majority(runs))
+                fps.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
                 keys.append(first_members(found, counts, percent).view(np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(fps), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "n", "keys"])
+            columns = [batch.column("id"), batch.column("th"), pa.array(fps, pa.binary()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["id", "th", "fp", "sim", "n", "keys"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, fp string, n int, keys array<bigint>")
+    kind = texts.schema["id"].dataType.simpleString()
+    found = texts.mapInArrow(run, f"id {kind}, th bigint, fp binary, sim bigint, n int, keys array<bigint>")
+    return durable(found.withColumn("node", F.monotonically_increasing_id()), "prefixes")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have the similarity, written to the shared folder."""
     pairs = durable(pairs.distinct(), "candidates")
     if pairs.isEmpty():
         return pairs
-    kind = texts.schema["id"].dataType.simpleString()
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(x, width).tobytes() for x in _texts(batch)]
-            yield pa.record_batch([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(s) for s in found], pa.string()), pa.array(found, pa.binary())], names=["id", "fp", "s"])
+            yield pa.record_batch([batch.column("node"), pa.array([shingle_set(x, width).tobytes() for x in _texts(batch, "text")], pa.binary())], names=["node", "s"])
 
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    mine = texts.join(nodes, F.col("id") == F.col("node"), "left_semi").mapInArrow(sets, f"id {kind}, fp string, s binary")
-    mine = durable(mine.join(points.select(F.col("fp").alias("p"), "node"), (F.col("fp") == F.col("p")) & (F.col("id") == F.col("node"))).select("node", "fp", "s").dropDuplicates(["node", "fp"]), "sets")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    asked = prints.join(nodes, F.col("node") == F.col("asked"), "left_semi").select("node", F.col("id").alias("own"), F.col("th").alias("own_th"))
+    mine = texts.join(asked, F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text").mapInArrow(sets, "node bigint, s binary")
+    mine = durable(mine.dropDuplicates(["node"]), "sets")
     left, right = (mine.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return durable(joined.mapInArrow(check, f"a {kind}, b {kind}").distinct(), "links")
+    return durable(joined.mapInArrow(check, "a bigint, b bigint").distinct(), "links")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, cap: int = 32, rounds: int = 4) -> DataFrame:
-    """One row per document: id_col, component_id, the smallest id that pairs of the similarity or more reach.
-
-    Equal sets of shingles are one node; documents without a word are equal. A text of fewer words than width is one
-    shingle. A null id gets the component of its set, null if no other row has it. Repeated rows stay repeated.
-    """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = durable(prefixes(texts, width, percent), "prefixes")
-    points = durable(prints.groupBy("fp").agg(F.min("id").alias("node")).filter("node is not null"), "points")
-    own = prints.join(points.select(F.col("fp").alias("p"), "node"), (F.col("fp") == F.col("p")) & (F.col("id") == F.col("node")))
-    placed = durable(own.select("node", "n", "keys"), "placed").select("node", "n", F.posexplode("keys").alias("pos", "key")).distinct()
-    sizes = durable(placed.groupBy("key").count().filter("count > 1"), "lists")
+def similar(prints: DataFrame, repeats: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int, cap: int, rounds: int) -> DataFrame:
+    """(node, root) of the components that all pairs of the similarity connect. repeats (again): nodes whose set an earlier node has; found: links (a, b) that are known."""
 
     def fits(n, m, i, j):
         return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
@@ -136,31 +156,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def joined(rows, other):
         return side(rows, "a").join(side(other, "b"), "key").filter(fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
 
-    def ends(rows):
-        return rows.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).filter("a > b")
+    def rooted(rows, roots, node, name):
+        return rows.join(roots.select(F.col("node").alias("m"), F.col("root").alias("r")), F.col(node) == F.col("m"), "left").select(*rows.columns, F.coalesce("r", node).alias(name))
 
-    small = durable(placed.join(sizes.filter(F.col("count") <= cap), "key", "left_semi"), "small")
-    found = verified(ends(joined(small, small).filter("node_a > node_b")), texts, points, width, percent)
     roots = durable(components(found), "roots")
-    lists = durable(placed.join(sizes.filter(F.col("count") > cap), "key", "left_semi"), "large")
+    placed = prints.join(repeats, F.col("node") == F.col("again"), "left_anti").select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    sizes = durable(placed.groupBy("key").count().filter("count > 1"), "lists")
+    lists = durable(placed.join(sizes, "key"), "listed")
+    small = lists.filter(F.col("count") <= cap).drop("count")
+    pairs = joined(small, small).filter("node_a > node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    apart = rooted(rooted(pairs, roots, "a", "x"), roots, "b", "y").filter("x != y").select("a", "b")
+    found = found.unionByName(verified(apart, texts, prints, width, percent))
+    roots = durable(components(found), "roots")
+    lists = lists.filter(F.col("count") > cap).drop("count")
     for k in range(rounds + 1):
-        known = lists.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(*lists.columns, F.coalesce("root", "node").alias("root"))
-        known = durable(known, "known")
+        known = durable(rooted(lists, roots, "node", "root"), "known")
         mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t"), F.min(F.struct("node", "n", "pos", "root")).alias("least")).filter("r < t").select("key", "least.*")
         mixed = durable(mixed, "mixed")
         if mixed.isEmpty():
             break
         lists = durable(known.join(mixed, "key", "left_semi"), "left")
         pairs = joined(lists, mixed if k < rounds else lists).filter("root_a != root_b")
-        found = found.unionByName(verified(ends(pairs), texts, points, width, percent))
+        pairs = pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+        found = found.unionByName(verified(pairs, texts, prints, width, percent))
         roots = durable(components(found), "roots")
         lists = lists.drop("root").join(mixed.select("key", "node"), ["key", "node"], "left_anti")
-    classes = durable(points.join(roots, "node", "left").select(F.col("fp").alias("p"), F.coalesce("root", "node").alias("component_id")), "classes")
-    return prints.join(classes, F.col("fp") == F.col("p"), "left").select(F.col("id").alias(id_col), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each component, that with its smallest id; columns unchanged."""
-    gone = near_components(docs, id_col, text_col, **how).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
-    return rows.join(durable(gone, "gone"), F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
+    return roots

@@ -2,50 +2,50 @@
 
 A 64-bit fingerprint is embedded as its 32 two-bit segments' popcounts (0, 1 or 2), packed into 64 bits again. A
 flipped bit changes one coordinate by one, so the Manhattan distance of two embeddings never exceeds the Hamming
-distance of their fingerprints. The 32 coordinates form four blocks of eight. Points within Manhattan distance 2 agree
-in at least two whole blocks; so a grid cell is a choice of two blocks and their 16 coordinates, and each point lies in
-six cells. Points that share a cell are range-joined: first the Manhattan bound on all coordinates, then the bits.
+distance of their fingerprints. The 32 coordinates form ``BLOCKS`` blocks of four or five. Points within Manhattan
+distance 2 agree in all blocks but two at most; so a grid cell is a choice of all blocks but two and their coordinates,
+and each point lies in one cell for each such choice. Points that share a cell are range-joined: first the Manhattan
+bound on all coordinates, then the bits. Five of seven blocks are 22 coordinates or more, of which unlike fingerprints
+share all with a chance of (3/8)**22; so cells stay small up to some 10**10 fingerprints.
 
 A cell with more than ``cell_cap`` different fingerprints isn't joined, which would be quadratic. Its fingerprints are
 joined exactly by another way: each gives itself and its 64 one-bit neighbours as keys; fingerprints within two bits
 share such a key, those that share one are within two bits, and no key has more than 65. Two fingerprints within two
 bits either share a small cell, or are both in some large one; so no link is lost, whatever the data.
+
+Texts of a shingle similarity of 0.8 differ in 10 bits on the average, far more than any grid can join. So near copies
+by similarity (``drop_near_copies``) take the links of two bits as the first candidates, hold each against the true
+similarity, and leave the pairs that bits can't show to the exact prefix filter of ``shingles``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm import shingles
 from loomwright.llm.components import components
+from loomwright.llm.rows import kept_once
 from loomwright.session import durable
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Block pairs of the grid: the 16-bit blocks of the packed embedding that a cell fixes.
-PAIRS = [(i, j) for i in range(4) for j in range(i)]
-WINDOW = 1 << 16
+BLOCKS = 7
 
 
-def simhash(text: str | bytes | None, width: int = 3) -> int:
-    """The 64-bit fingerprint: a bit is 1 if set in over half of the shingles' XXH64 (seed 42); no word: 0.
+def grid(blocks: int = BLOCKS) -> list[int]:
+    """For each choice of all blocks but two, the mask of the packed coordinates that a cell fixes, as a signed integer."""
+    cuts = [2 * (32 * k // blocks) for k in range(blocks + 1)]
+    masks = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(blocks)]
+    return [_signed(sum(chosen)) for chosen in combinations(masks, blocks - 2)]
 
-    Words are what ASCII white space separates, A-Z lower-cased. Fewer words than width make one shingle.
-    """
-    words = (text.encode() if isinstance(text, str) else text or b"").translate(LOWER).split()
-    if not words:
-        return 0
-    width = min(width, len(words))
-    digest, join, counts, n = xxhash.xxh64_digest, b" ".join, np.zeros(64, np.int64), len(words) - width + 1
-    for start in range(0, n, WINDOW):
-        part = words[start : min(start + WINDOW, n) + width - 1]
-        raw = b"".join([digest(join(x), 42) for x in zip(*(part[k:] for k in range(width)), strict=False)])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+
+def simhash(text: str | bytes | None, width: int = 3) -> int:
+    """The 64-bit fingerprint: a bit is 1 if set in over half of the shingles' XXH64 (seed 42); no word: 0."""
+    return shingles.majority(shingles.digest_runs(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -77,12 +77,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(points: DataFrame, cell_cap: int = 32) -> DataFrame:
+def links(points: DataFrame, cell_cap: int = 32, blocks: int = BLOCKS) -> DataFrame:
     """(a, b), node numbers of points (node, fp; fp distinct) that connect all pairs within two differing bits.
 
     Not every pair is given: in large cells a star stands for those around one key. Each link given is a true one.
     """
-    cells = F.array(*(F.struct(F.lit(k).alias("pair"), F.col("e").bitwiseAND(F.lit(_signed((0xFFFF << 16 * i) | (0xFFFF << 16 * j)))).alias("cell")) for k, (i, j) in enumerate(PAIRS)))
+    cells = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("pair"), F.col("e").bitwiseAND(F.lit(mask)).alias("cell")) for k, mask in enumerate(grid(blocks))))
     placed = points.withColumn("e", embedding(F.col("fp"))).select("node", "fp", "e", F.explode(cells).alias("c")).select("node", "fp", "e", "c.pair", "c.cell")
     sizes = durable(placed.groupBy("pair", "cell").count().filter("count > 1"), "cells")
     here = lambda side: [placed["pair"] == side["pair"], placed["cell"] == side["cell"]]
@@ -115,8 +115,41 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, F.col("fp") == F.col("p"), "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, cap: int = 32, rounds: int = 4) -> DataFrame:
+    """One row per document: id_col, th (a hash of its text), component_id, rep_th: id and text hash of the component's first document.
+
+    Components are what pairs of ``percent`` hundredths of similarity or more connect, similarity being Jaccard's over
+    the sets of width-word shingles. The first document is that with the smallest id, then text hash; null ids come
+    last. Texts of fewer words than width are one shingle; those without a word are equal. Repeated rows stay repeated;
+    an empty table gives an empty result; other columns are ignored.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    prints = shingles.prefixes(texts, width, percent)
+    equal = prints.groupBy("fp").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("fp").alias("p"), "b")
+    found = durable(prints.join(durable(equal, "equal"), F.col("fp") == F.col("p")).filter("node > b").select(F.col("node").alias("a"), "b"), "links")
+    repeats = found.select(F.col("a").alias("again"))
+    # one node for each SimHash; what shares one, and what lies within two bits, is tried first
+    single = durable(prints.select("node", "sim").join(repeats, F.col("node") == F.col("again"), "left_anti"), "single")
+    points = durable(single.groupBy(F.col("sim").alias("fp")).agg(F.min("node").alias("node")), "points")
+    same = single.join(points.select(F.col("fp").alias("s"), F.col("node").alias("b")), F.col("sim") == F.col("s")).filter("node > b").select(F.col("node").alias("a"), "b")
+    found = found.unionByName(shingles.verified(same.unionByName(links(points)), texts, prints, width, percent))
+    roots = shingles.similar(prints, repeats, texts, found, width, percent, cap, rounds)
+    placed = durable(prints.join(roots.select(F.col("node").alias("m"), "root"), F.col("node") == F.col("m"), "left").select("id", "th", F.coalesce("root", "node").alias("root")), "placed")
+    # only components of several nodes need their first document looked for
+    first = placed.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
+    first = durable(first.select(F.col("root").alias("of"), "first"), "first")
+    joined = placed.join(first, F.col("root") == F.col("of"), "left")
+    return joined.select(F.col("id").alias(id_col), "th", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"), F.coalesce("first.th", "th").alias("rep_th"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each component, that with its smallest id; columns unchanged."""
-    gone = near_components(docs, id_col, text_col, **how).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
-    return rows.join(durable(gone, "gone"), F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
+    """docs with one document of each component of similar_components(); columns unchanged, texts aren't exchanged while few rows go.
+
+    That with the smallest id stays, null ids last; of rows with one id, that with the least hash of its text. Rows that
+    agree in id and text are one document and come once. An empty table stays empty, extra columns stay whatever their
+    names.
+    """
+    found = durable(similar_components(docs, id_col, text_col, **how).withColumnRenamed(id_col, "of_id"), "near")
+    stays = F.col("of_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("rep_th"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return kept_once(docs, found.select("of_id", F.col("th").alias("of_key"), stays.alias("stays")), F.col(id_col), F.xxhash64(text))

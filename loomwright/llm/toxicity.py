@@ -12,6 +12,7 @@ marks go into a score; language, source and identifier don't.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -149,7 +150,8 @@ class Grammar:
             start = end - size + 1
             if start < done or start and low[start - 1].isalpha():
                 continue
-            a = max(low.rfind(c, 0, start) for c in ".!?;\n") + 1
+            # the clause can't begin before the end of the last one, so each character is searched once at most
+            a = max(done, max(low.rfind(c, max(done, 0), start) for c in ".!?;\n") + 1, 0)
             stop = CLAUSE.search(low, start)
             done = stop.end() if stop else len(low)
             state = 0
@@ -199,11 +201,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w[:-1], float(w[-1])
 
 
-def bottom(text: str) -> int:
-    """The least hash of a text's word triples: near copies mostly share it."""
+def bottoms(text: str, most: int = 16) -> list[int]:
+    """The least hashes of a text's word triples, ascending: near copies share most of them."""
     words = text.lower().split()
     triples = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [tuple(words)]
-    return min(xxhash.xxh64_intdigest(" ".join(t)) for t in triples) >> 1
+    return heapq.nsmallest(most, {xxhash.xxh64_intdigest(" ".join(t)) >> 1 for t in triples})
+
+
+def unlike(sketches: list[list[int]]) -> list[int]:
+    """The places of the sketches that share under half of their hashes with each one kept before them."""
+    kept: list[int] = []
+    for k, own in enumerate(sketches):
+        own = set(own)
+        if all(2 * len(own & set(sketches[j])) < max(len(own), len(sketches[j])) for j in kept):
+            kept.append(k)
+    return kept
 
 
 def in_fold(id_col: str = "doc_id"):
@@ -226,15 +238,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The grammar with its lexicon and weights from at most max_labelled labelled rows outside the held-out fold.
 
     max_labelled is the documented bound of the sample: the rows with the least seeded hash of their id. Of near
-    copies among them one counts. Without labels of both classes, seed words and fixed weights are used.
+    copies among them the one with the least id counts. The same rows give the same grammar however they're partitioned. Without labels of both classes, seed words and fixed weights are used.
     """
     marked = labels.filter(F.col("toxic").isin(0, 1) & ~in_fold(id_col)).groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").alias("toxic"))
     drawn = durable(marked.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled), "labelled")
     # at most max_labelled rows of two numbers: a proven bound for the broadcast
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text"))
-    texts = own.join(F.broadcast(drawn), F.col("own_id") == F.col("label_id")).select("text", F.col("toxic").cast("int").alias("toxic"))
-    keyed = _mapped(texts, lambda t, b: [b.column(0), b.column(1), pa.array([bottom(x) for x in t], pa.int64())], "text string, toxic int, bottom bigint", ["text", "toxic", "bottom"])
-    sample = durable(keyed.dropDuplicates(["bottom", "toxic"]), "sample")
+    texts = own.join(F.broadcast(drawn), F.col("own_id") == F.col("label_id")).select("text", F.col("toxic").cast("int").alias("toxic"), "own_id")
+    kind = texts.schema["own_id"].dataType.simpleString()
+    names = ["text", "toxic", "own_id", "sketch"]
+    keyed = _mapped(texts, lambda t, b: [*b.columns, pa.array([bottoms(x) for x in t], pa.list_(pa.int64()))], f"text string, toxic int, own_id {kind}, sketch array<bigint>", names)
+    keyed = durable(keyed.withColumn("th", F.xxhash64("text")), "sketched")
+
+    def first(table):
+        table = table.sort_by([("own_id", "ascending"), ("th", "ascending")])
+        return table.take(unlike(table.column("sketch").to_pylist())).select(["own_id", "th"])
+
+    # of a class's texts with one least hash; at most max_labelled sketches of 16 numbers, without their texts
+    groups = keyed.select("own_id", "th", "toxic", "sketch").groupBy("toxic", F.get("sketch", F.lit(0)))
+    kept = durable(groups.applyInArrow(first, f"own_id {kind}, th bigint"), "unlike")
+    sample = durable(keyed.join(F.broadcast(kept), ["own_id", "th"], "left_semi").dropDuplicates(["own_id", "th"]).select("text", "toxic"), "sample")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Grammar({f"{w}$": 2.0 for w in SEEDS})

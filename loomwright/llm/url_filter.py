@@ -12,19 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+#: Hosts that are addresses have no parent domains.
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 ORIGIN = "2024-01-01"
 
 
+def host_of(url: Column) -> Column:
+    """A URL's host: lower case, without port, login and final dot, an IPv6 address in its brackets; null where there is none."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
+    return F.when(host != "", host)
+
+
 def with_host(captures: DataFrame, url_col: str = "url") -> DataFrame:
-    """captures with column host: lower case, without port, login and final dot; null where the URL has none."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url_col, HOST, 1)), r"\.$", "")
-    return captures.withColumn("host", F.when(host != "", host))
+    """captures with column host, as host_of() has it."""
+    return captures.withColumn("host", host_of(F.col(url_col)))
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains of two labels or more, the longest first; a host of one label alone."""
-    labels = F.split(host, r"\.")
+    """The host and its parent domains of two labels or more, the longest first; a host of one label, or an address, alone."""
+    labels = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
     return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, n), "."))
 
@@ -42,20 +49,23 @@ def filter_urls(captures: DataFrame, events: DataFrame, day_col: str = "day", ur
 
     Of the entries in force the one with most labels decides; two intervals of one entry can't overlap. A capture
     without host or day matches nothing and isn't blocked. Repeated captures stay repeated; an empty list blocks
-    nothing. Columns of captures with the added names are replaced.
+    nothing; no captures give an empty result. Columns of captures with the added names are replaced, any others stay.
     """
     added = ["host", "n_active", "matched_entry", "verdict", "blocked"]
-    held = with_host(captures.drop(*added), url_col)
-    seen = held.filter("host is not null").select("host", F.col(day_col).alias("day")).filter("day is not null").distinct()
+    own = captures.drop(*added)
+    # a capture's own columns are one column, so that none of their names can clash
+    held = own.select(F.struct("*").alias("row"), host_of(F.col(url_col)).alias("c_host"), F.col(day_col).alias("c_day"))
+    seen = held.filter("c_host is not null and c_day is not null").select(F.col("c_host").alias("host"), F.col("c_day").alias("day")).distinct()
     tried = seen.withColumn("entry", F.explode(suffixes(F.col("host"))))
     active = tried.join(intervals(events), "entry").filter("since <= day and (until is null or day < until)")
     decided = active.groupBy(F.col("host").alias("d_host"), F.col("day").alias("d_day")).agg(
-        F.count(F.lit(1)).alias("n_active"), F.max_by(F.struct("entry", "verdict"), F.struct(F.length("entry"), F.col("verdict"))).alias("best")
+        F.count(F.lit(1)).alias("n"), F.max_by(F.struct("entry", "verdict"), F.struct(F.length("entry"), F.col("verdict"))).alias("best")
     )
-    joined = held.join(decided, (F.col("host") == F.col("d_host")) & (F.col(day_col) == F.col("d_day")), "left")
+    joined = held.join(decided, (F.col("c_host") == F.col("d_host")) & (F.col("c_day") == F.col("d_day")), "left")
     return joined.select(
-        *held.columns,
-        F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"),
+        *(F.col("row").getField(c).alias(c) for c in own.columns),
+        F.col("c_host").alias("host"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_active"),
         F.col("best.entry").alias("matched_entry"),
         F.col("best.verdict").alias("verdict"),
         F.coalesce(F.col("best.verdict") == "block", F.lit(False)).alias("blocked"),
@@ -86,12 +96,14 @@ def sample_list(pages: DataFrame) -> DataFrame:
 SQL = r"""
 WITH held AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day,
-         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '') AS host
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '\.$', ''), '') AS host
   FROM pages),
+labels AS (
+  SELECT host, CASE WHEN regexp_matches(host, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$') THEN [host] ELSE string_split(host, '.') END AS parts
+  FROM (SELECT DISTINCT host FROM held WHERE host IS NOT NULL) h),
 tried AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS entry
-  FROM (SELECT DISTINCT host FROM held WHERE host IS NOT NULL) h,
-       LATERAL (SELECT unnest(range(1, 1 + greatest(len(string_split(h.host, '.')) - 1, 1))) AS k) s),
+  SELECT host, array_to_string(list_slice(parts, k, len(parts)), '.') AS entry
+  FROM labels l, LATERAL (SELECT unnest(range(1, 1 + greatest(len(l.parts) - 1, 1))) AS k) s),
 listed AS (
   SELECT entry, m, CASE WHEN m % 5 = 0 THEN 'allow' ELSE 'block' END AS verdict
   FROM (SELECT DISTINCT entry, CAST('0x' || substr(md5(entry), 1, 6) AS INTEGER) AS m FROM tried) e),

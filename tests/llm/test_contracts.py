@@ -171,7 +171,7 @@ def test_op4(spark, folder, docs):
         by_text[text].add(found[k].fingerprint)
     assert all(len(x) == 1 for x in by_text.values())
     for r in found.values():
-        own, other = (set(re.findall(".{16}", x)) for x in (r.fingerprint, r.edited_fingerprint))
+        own, other = (set(re.findall(".{12}", x)) for x in (r.fingerprint, r.edited_fingerprint))
         least = min(len(own), len(other))
         assert r.near_edited == pytest.approx(len(own & other) / least if least else float(len(own) == len(other)))
 

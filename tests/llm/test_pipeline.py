@@ -8,7 +8,8 @@ import pytest
 
 import corpus_pipeline
 from loomwright.llm import mixing, toxicity
-from tests.llm.test_contracts import awkward, bare, brute_components, brute_simhash, library
+from tests.llm.test_contracts import awkward, bare, library
+from tests.llm.test_shingles import want as want_near
 
 
 @pytest.fixture(scope="module", params=["sf0.001", "awkward"])
@@ -38,10 +39,8 @@ def test_stages(spark, where, tmp_path):
     once = {(r.doc_id, r.text or "") for r in clean if r.doc_id == largest[r.text or ""]}
     assert Counter((r.doc_id, r.text or "") for r in kept["exact_dedup"]) == Counter(once)
 
-    prints = [(k, brute_simhash(x)) for k, x in sorted(once)]
-    roots = brute_components(prints)
-    apart = {k for k, f in prints if roots[f] == k}
-    assert Counter(r.doc_id for r in kept["simhash_near_dedup"]) == Counter(apart)
+    apart = Counter(k for k, least in want_near(sorted(once)).elements() if k == least)
+    assert Counter(r.doc_id for r in kept["simhash_near_dedup"]) == apart
 
     near = kept["simhash_near_dedup"]
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in near}

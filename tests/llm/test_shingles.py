@@ -5,8 +5,7 @@ from collections import Counter
 
 import pytest
 
-import corpus_pipeline
-from loomwright.llm import shingles
+from loomwright.llm import simhash
 
 LOWER = {k: k + 32 for k in range(65, 91)}
 
@@ -63,16 +62,17 @@ def edited():
 def test_components(spark, cap, rounds):
     rows = edited()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = Counter(map(tuple, shingles.near_components(docs, cap=cap, rounds=rounds).collect()))
+    got = Counter(map(tuple, simhash.similar_components(docs, cap=cap, rounds=rounds).select("doc_id", "component_id").collect()))
     assert got == want(rows)
 
 
-def test_near_copies_leave_the_pipeline(spark, small, tmp_path):
-    now = spark.read.parquet(f"{small}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        if name == "mix_sources":
-            break
-        stage(spark, now, small).write.parquet(f"{tmp_path}/{name}")
-        now = spark.read.parquet(f"{tmp_path}/{name}")
-    roots = brute([r.text or "" for r in now.collect()])
-    assert all(x == y for x, y in roots.items())
+def test_ids_may_repeat_or_lack(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    rows = [(3, near), (7, near), (7, "quite another text of its own"), (7, near + " u"), (None, near), (None, "x y z"), (None, "X y  z"), (2, "one"), (2, "one"), (2, "ONE"), (9, None), (8, "")]
+    docs = spark.createDataFrame([(k, x, "g", 1, 2) for k, x in rows], "doc_id long, text string, th string, node int, of_id int").repartition(3)
+    found = simhash.drop_near_copies(docs)
+    assert found.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in found.collect())
+    assert sum(got.values()) == 5 and got[3, near] == got[7, "quite another text of its own"] == got[8, ""] == 1
+    assert sum(got[k, x] for k, x in ((None, "x y z"), (None, "X y  z"))) == 1 and got[2, "one"] + got[2, "ONE"] == 1
+    assert simhash.drop_near_copies(docs.limit(0)).collect() == []
