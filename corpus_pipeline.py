@@ -1,18 +1,16 @@
-"""A corpus pipeline of six stages, each the decision of one operator; every stage is written and read again.
+"""A corpus pipeline of five stages, each the decision of one operator; every stage is written and read again.
 
-All columns of documents pass through the first five stages; the last returns what encoding and decoding gave. Each
+All columns of documents pass through the first four stages; the last returns what encoding and decoding gave. Each
 stage takes nulls, empty tables, repeated rows and extra columns as its operator's docstring says.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, exact_dedup, mixing, shingles, simhash, toxicity
-from loomwright.session import shared_folder
+from loomwright.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from loomwright.session import new_path, passing, remove
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +25,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs)
-
-
-def shingle_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that pairs of 0.8 or more in five-word shingles connect, the row with the smallest doc_id stays."""
-    return shingles.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, width=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +45,6 @@ STAGES = [
     ("toxicity", toxicity_stage),
     ("exact_dedup", exact_stage),
     ("simhash_near_dedup", near_stage),
-    ("shingle_near_dedup", shingle_stage),
     ("mix_sources", mixing_stage),
     ("bpe_encode_decode", encoding_stage),
 ]
@@ -61,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through all stages; what stands between them is a Parquet table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """documents through all stages; what stands between them is a Parquet table in the shared folder, deleted when it has been read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/loomwright/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = new_path(spark, f"stage-{name}")
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
