@@ -144,8 +144,11 @@ def verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int,
     return durable(joined.mapInArrow(check, "a bigint, b bigint").distinct(), "links")
 
 
-def similar(prints: DataFrame, repeats: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int, cap: int, rounds: int) -> DataFrame:
-    """(node, root) of the components that all pairs of the similarity connect. repeats (again): nodes whose set an earlier node has; found: links (a, b) that are known."""
+def similar(prints: DataFrame, repeats: DataFrame, texts: DataFrame, tried: DataFrame, width: int, percent: int, cap: int, rounds: int) -> DataFrame:
+    """(node, root) of the components that all pairs of the similarity connect, of nodes that aren't repeats.
+
+    repeats (again): nodes whose set an earlier node has; tried: pairs (a, b) to be held against the similarity besides.
+    """
 
     def fits(n, m, i, j):
         return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
@@ -156,29 +159,27 @@ def similar(prints: DataFrame, repeats: DataFrame, texts: DataFrame, found: Data
     def joined(rows, other):
         return side(rows, "a").join(side(other, "b"), "key").filter(fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
 
-    def rooted(rows, roots, node, name):
-        return rows.join(roots.select(F.col("node").alias("m"), F.col("root").alias("r")), F.col(node) == F.col("m"), "left").select(*rows.columns, F.coalesce("r", node).alias(name))
+    def rooted(rows, roots):
+        return rows.join(roots.select(F.col("node").alias("m"), F.col("root").alias("r")), F.col("node") == F.col("m"), "left").select(*rows.columns, F.coalesce("r", "node").alias("root"))
 
-    roots = durable(components(found), "roots")
     placed = prints.join(repeats, F.col("node") == F.col("again"), "left_anti").select("node", "n", F.posexplode("keys").alias("pos", "key"))
     sizes = durable(placed.groupBy("key").count().filter("count > 1"), "lists")
     lists = durable(placed.join(sizes, "key"), "listed")
     small = lists.filter(F.col("count") <= cap).drop("count")
-    pairs = joined(small, small).filter("node_a > node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    apart = rooted(rooted(pairs, roots, "a", "x"), roots, "b", "y").filter("x != y").select("a", "b")
-    found = found.unionByName(verified(apart, texts, prints, width, percent))
+    pairs = joined(small, small).filter("node_a > node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = verified(tried.unionByName(pairs), texts, prints, width, percent)
     roots = durable(components(found), "roots")
     lists = lists.filter(F.col("count") > cap).drop("count")
     for k in range(rounds + 1):
-        known = durable(rooted(lists, roots, "node", "root"), "known")
+        known = durable(rooted(lists, roots), "known")
         mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t"), F.min(F.struct("node", "n", "pos", "root")).alias("least")).filter("r < t").select("key", "least.*")
         mixed = durable(mixed, "mixed")
         if mixed.isEmpty():
             break
-        lists = durable(known.join(mixed, "key", "left_semi"), "left")
+        lists = known.join(mixed, "key", "left_semi")
         pairs = joined(lists, mixed if k < rounds else lists).filter("root_a != root_b")
         pairs = pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
         found = found.unionByName(verified(pairs, texts, prints, width, percent))
         roots = durable(components(found), "roots")
-        lists = lists.drop("root").join(mixed.select("key", "node"), ["key", "node"], "left_anti")
+        lists = durable(lists.drop("root").join(mixed.select("key", "node"), ["key", "node"], "left_anti"), "left") if k < rounds else lists
     return roots

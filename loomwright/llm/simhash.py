@@ -115,7 +115,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, F.col("fp") == F.col("p"), "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, cap: int = 32, rounds: int = 4) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, cap: int = 32, rounds: int = 1) -> DataFrame:
     """One row per document: id_col, th (a hash of its text), component_id, rep_th: id and text hash of the component's first document.
 
     Components are what pairs of ``percent`` hundredths of similarity or more connect, similarity being Jaccard's over
@@ -126,20 +126,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     prints = shingles.prefixes(texts, width, percent)
     equal = prints.groupBy("fp").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("fp").alias("p"), "b")
-    found = durable(prints.join(durable(equal, "equal"), F.col("fp") == F.col("p")).filter("node > b").select(F.col("node").alias("a"), "b"), "links")
-    repeats = found.select(F.col("a").alias("again"))
-    # one node for each SimHash; what shares one, and what lies within two bits, is tried first
+    repeats = durable(prints.join(durable(equal, "equal"), F.col("fp") == F.col("p")).filter("node > b").select(F.col("node").alias("again"), "b"), "repeats")
+    # one node for each SimHash; what shares one, and what lies within two bits, is tried besides
     single = durable(prints.select("node", "sim").join(repeats, F.col("node") == F.col("again"), "left_anti"), "single")
     points = durable(single.groupBy(F.col("sim").alias("fp")).agg(F.min("node").alias("node")), "points")
     same = single.join(points.select(F.col("fp").alias("s"), F.col("node").alias("b")), F.col("sim") == F.col("s")).filter("node > b").select(F.col("node").alias("a"), "b")
-    found = found.unionByName(shingles.verified(same.unionByName(links(points)), texts, prints, width, percent))
-    roots = shingles.similar(prints, repeats, texts, found, width, percent, cap, rounds)
-    placed = durable(prints.join(roots.select(F.col("node").alias("m"), "root"), F.col("node") == F.col("m"), "left").select("id", "th", F.coalesce("root", "node").alias("root")), "placed")
-    # only components of several nodes need their first document looked for
-    first = placed.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
-    first = durable(first.select(F.col("root").alias("of"), "first"), "first")
-    joined = placed.join(first, F.col("root") == F.col("of"), "left")
-    return joined.select(F.col("id").alias(id_col), "th", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"), F.coalesce("first.th", "th").alias("rep_th"))
+    roots = shingles.similar(prints, repeats.select("again"), texts, same.unionByName(links(points)), width, percent, cap, rounds)
+    based = prints.join(repeats, F.col("node") == F.col("again"), "left").select("id", "th", F.coalesce("b", "node").alias("base"))
+    placed = durable(based.join(roots, F.col("base") == F.col("node"), "left").select("id", "th", F.coalesce("root", "base").alias("of")), "placed")
+    first = placed.groupBy("of").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    joined = placed.join(durable(first.select("of", "first"), "first"), "of", "left")
+    return joined.select(F.col("id").alias(id_col), "th", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"), F.coalesce("first.th", "th").alias("rep_th"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
