@@ -77,10 +77,16 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
     """How many documents have a shingle in each slot. texts: (text, ...)."""
 
     def count(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total, waiting, size = np.zeros(SLOTS, np.int64), [], 0
         for batch in batches:
             for x in _texts(batch, "text"):
-                total += np.bincount((shingle_set(x, width) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if x else 0
+                waiting.append((shingle_set(x, width) % np.uint64(SLOTS)).astype(np.int32))
+                size += len(waiting[-1])
+                if size > 4 * SLOTS:
+                    total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+                    waiting, size = [], 0
+        if size:
+            total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
         at = np.flatnonzero(total)
         for start in range(0, len(at), WINDOW):
             some = at[start : start + WINDOW]

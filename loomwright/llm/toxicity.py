@@ -257,7 +257,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # of a class's texts with one least hash; at most max_labelled sketches of 16 numbers, without their texts
     groups = keyed.select("own_id", "th", "toxic", "sketch").groupBy("toxic", F.get("sketch", F.lit(0)))
     kept = durable(groups.applyInArrow(first, f"own_id {kind}, th bigint"), "unlike")
-    sample = durable(keyed.join(F.broadcast(kept), ["own_id", "th"], "left_semi").dropDuplicates(["own_id", "th"]).select("text", "toxic"), "sample")
+    # dealt out again, as what follows is heavy by row; the table is bounded
+    spread = keyed.join(F.broadcast(kept), ["own_id", "th"], "left_semi").repartition(docs.sparkSession.sparkContext.defaultParallelism, "own_id", "th")
+    sample = durable(spread.dropDuplicates(["own_id", "th"]).select("text", "toxic"), "sample")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Grammar({f"{w}$": 2.0 for w in SEEDS})
