@@ -98,6 +98,20 @@ def passing(spark: SparkSession):
             remove(spark, path)
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Python workers get at most so many rows at once from what is run inside; for wide rows."""
+    before = spark.conf.get(ROWS, None)
+    spark.conf.set(ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS, before) if before is not None else spark.conf.unset(ROWS)
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
