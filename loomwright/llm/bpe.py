@@ -35,7 +35,7 @@ def byte_symbols() -> dict[str, int]:
 class PairIndexBpe:
     """A tokenizer file of the byte-level BPE kind, with a bounded cache of the words seen."""
 
-    def __init__(self, path: str, max_words: int = 200_000):
+    def __init__(self, path: str, max_words: int = 100_000):
         """max_words: words kept before the cache starts anew; it bounds memory and changes no result."""
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -212,7 +212,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def parts(column: pa.Array, rows: int = 2000, most_bytes: int = 6 << 20):
+def parts(column: pa.Array, rows: int = 1000, most_bytes: int = 4 << 20):
     """(first row, texts) of runs of a batch's rows, which bound what is merged and held at once; a null is an empty text."""
     texts: list[str] = []
     start = size = 0
@@ -256,6 +256,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
                         kind = pa.string() if form == "text" else pa.list_(pa.int32())
                         yield pa.record_batch([keys.slice(start, len(rows)), pa.array(n_tokens, pa.int64()), pa.array(list(token_ids), kind), pa.array(text, pa.string())], names=[id_col, "n_tokens", "token_ids", "decoded"])
                         start, rows, size = k, [], 0
+        # the worker stays for other tasks: it shouldn't hold these words
+        bpe.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     ids = "string" if form == "text" else "array<int>"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import components
-from loomwright.session import durable
+from loomwright.session import durable, small_batches
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WINDOW = 1 << 16
@@ -119,7 +119,8 @@ def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
     kind = texts.schema["id"].dataType.simpleString()
     found = texts.mapInArrow(run, f"id {kind}, th bigint, fp binary, sim bigint, n int, keys array<bigint>")
-    return durable(found.withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    with small_batches(texts.sparkSession, 2000):
+        return durable(found.withColumn("node", F.monotonically_increasing_id()), "prefixes")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int, percent: int) -> DataFrame:
@@ -144,10 +145,13 @@ def verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int,
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     asked = prints.join(nodes, F.col("node") == F.col("asked"), "left_semi").select("node", F.col("id").alias("own"), F.col("th").alias("own_th"))
     mine = texts.join(asked, F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text").mapInArrow(sets, "node bigint, s binary")
-    mine = durable(mine.dropDuplicates(["node"]), "sets")
+    with small_batches(texts.sparkSession):
+        mine = durable(mine.dropDuplicates(["node"]), "sets")
     left, right = (mine.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return durable(joined.mapInArrow(check, "a bigint, b bigint").distinct(), "links")
+    # a row has both sets, so few rows are held at once
+    with small_batches(texts.sparkSession):
+        return durable(joined.mapInArrow(check, "a bigint, b bigint"), "links")
 
 
 def similar(prints: DataFrame, repeats: DataFrame, texts: DataFrame, tried: DataFrame, width: int, percent: int, cap: int, rounds: int) -> DataFrame:

@@ -79,6 +79,7 @@ def section_token_counts(docs: DataFrame, path: str | None = None, id_col: str =
                         rows.append((np.full(len(cuts), at + k), np.arange(len(cuts)), cuts, np.append(cuts[1:], len(texts[k])), own, crossing, np.full(len(cuts), len(first))))
                     of, *columns = (np.concatenate(x) for x in zip(*rows, strict=True))
                     yield pa.record_batch([batch.column(0).take(pa.array(of)), *(pa.array(x.astype(np.int64)) for x in columns)], names=[id_col, *NAMES])
+        bpe.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}`", f"cast(`{text_col}` as string) as `text`").mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{x} bigint" for x in NAMES))
