@@ -15,13 +15,22 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Step:
-    """Replace all matches of pattern; $1, $2 in put are groups."""
+    """Replace all matches of pattern; $1, $2 in put are groups.
+
+    steady, where given, has the same matches or the same outcome in Java's engine, in linear time on long runs of one
+    character: a run is entered at its start, or where the match before ended, and not given back bit by bit. needs, where
+    given, is what a text with a match has, and is looked for in linear time first.
+    """
 
     pattern: str
     put: str = ""
+    steady: str = ""
+    steady_put: str | None = None
+    needs: str = ""
 
     def __call__(self, text: Column) -> Column:
-        return F.regexp_replace(text, F.lit(self.pattern), F.lit(self.put))
+        made = lambda t: F.regexp_replace(t, F.lit(self.steady or self.pattern), F.lit(self.put if self.steady_put is None else self.steady_put))
+        return F.transform(F.array(text), lambda t: F.when(t.rlike(self.needs), made(t)).otherwise(t))[0] if self.needs else made(text)
 
     def sql(self, text: str) -> str:
         put = self.put.replace("$", "\\").replace("'", "''")
@@ -41,19 +50,22 @@ SPACE = r"[ \t\n\x0B\f\r]"
 PRINTABLE = Step(r"[^\x20-\x7E\t\n\r\x0B\x0C]")
 LINKS = Step(r"(?i)(^|\W)([a-zA-Z]+://|www\.)\w[\w.]*\w", "$1 ")
 MAIL_ADDRESSES = Step(r"(^|\W)\w[\w.]+\w@\w[\w.]+\w", "$1 ")
-FILE_NAMES = Step(r"(?i)(^|\W)[\w()-_\[\]@~<>.]+\.(com|txt|doc[x]?|xls[s]?|exe|zip|ppt[x]?|rar|img|gif|png|bmp|jp[e]?g|htm[l]?|url)", "$1 ")
-NUMBERS = Step(r"(^|\W)[-+ ]*\d[\d.',]*(\d[eE]?[-+ ]*\d[\d.',]+)?", "$1 ")
-BREAKS_TO_BLANKS = Step(r"(\t|\n)+", " ")
+FILE_NAMES = Step(
+    r"(?i)(^|\W)[\w()-_\[\]@~<>.]+\.(com|txt|doc[x]?|xls[s]?|exe|zip|ppt[x]?|rar|img|gif|png|bmp|jp[e]?g|htm[l]?|url)", "$1 ",
+    r"(?i)(^|[^\w()-_\[\]@~<>.])[\w()-_\[\]@~<>.]+\.(com|txt|doc[x]?|xls[s]?|exe|zip|ppt[x]?|rar|img|gif|png|bmp|jp[e]?g|htm[l]?|url)",
+)
+NUMBERS = Step(r"(^|\W)[-+ ]*\d[\d.',]*(\d[eE]?[-+ ]*\d[\d.',]+)?", "$1 ", r"(^|(?:(?<!\W)|\G)[-+ ]|[^\w+ -])[-+ ]*+\d[\d.',]*(\d[eE]?[-+ ]*\d[\d.',]+)?")
+BREAKS_TO_BLANKS = Step(r"(\t|\n)+", " ", r"[\t\n]++")
 PUNCTUATION_KEA = Step(r"""["`£$%^&*:@#~<>,/\\|_+=]+""", " ")
 APART_LEFT_KEA = Step(r"(\w)([;.!?]+)", "$1 $2")
-APART_RIGHT_KEA = Step(r"([;.!?]+)(\w)", "$1 $2")
-BREAKS_TO_SENTENCES = Step(r"(\r?\n)+", ". ")
+APART_RIGHT_KEA = Step(r"([;.!?]+)(\w)", "$1 $2", r"([;.!?])(\w)")
+BREAKS_TO_SENTENCES = Step(r"(\r?\n)+", ". ", r"(?:\r?\n)++")
 PUNCTUATION_LDA = Step(r"""["`£$%^&*@#~<>/\\_+=']+""", " ")
 APART_LEFT_LDA = Step(r"(\w)([;.!?,:|-]+)", "$1 $2")
-APART_RIGHT_LDA = Step(r"([;.!?,:|-]+)(\w)", "$1 $2")
+APART_RIGHT_LDA = Step(r"([;.!?,:|-]+)(\w)", "$1 $2", r"([;.!?,:|-])(\w)")
 ONE_SPACE = Step(SPACE + "{2,}", " ")
 LEFT_TRIM = Step("^" + SPACE + "+")
-NO_SPACE_BEFORE_QUOTE = Step(r"[ ]+(['])", "$1")
+NO_SPACE_BEFORE_QUOTE = Step(r"[ ]+(['])", "$1", r"(?<! )[ ]++(['])")
 ALL_UPPER = r"^[A-Z0-9\s\W]+\z"
 ABBREVIATION = r"^([A-Z0-9]{3,}[A-Z0-9_-]*|[A-Z0-9_-]*[A-Z0-9]{3,})\z"
 STARTS_WITH_NUMBER = r"^(^|\W)[-+ ]*\d"
@@ -64,12 +76,23 @@ HEADERS = (
     r"X-OriginalArrivalTime:[ \t]|X-MIME-Autoconverted:[ \t]|X-UIDL:[ \t]|X-Keywords:[ \t]|X-Mailer:[ \t]"
 )
 UNTIL_HEADER = rf"(?={HEADERS}|Hello[\W]|Hi[\W]|Dear[\W])"
-RECIPIENTS = Step(rf"(?i)([ \t>]*)(To:[ \t]|Cc:[ \t]|Bcc:[ \t]|Received:[ \t])([\s\S]*?){UNTIL_HEADER}", " ")
-OTHER_HEADERS = Step(rf"(?i)([ \t>]*)({HEADERS})([\s\S]{{0,200}}?){UNTIL_HEADER}", " ")
-DISCLAIMER = Step(r"(?i)([>*]|\s)+This\s+e-mail\s+is\s+the\s+property[\s\S]*estoppel\s+or\s+otherwise\.\s+Thank you\.([>*]|\s)+", "\n")
-ORIGINAL_MESSAGE = Step(r"(?i)-+\s*Original\s+Message\s*-+", " ")
+#: Where a run of blanks and quoting marks begins, or goes on behind the match before.
+QUOTED = r"(?:(?<![ \t>])|\G)[ \t>]*+"
+_RECIPIENTS = rf"(To:[ \t]|Cc:[ \t]|Bcc:[ \t]|Received:[ \t])([\s\S]*?){UNTIL_HEADER}"
+_OTHERS = rf"({HEADERS})([\s\S]{{0,200}}?){UNTIL_HEADER}"
+RECIPIENTS = Step(rf"(?i)([ \t>]*){_RECIPIENTS}", " ", rf"(?i){QUOTED}{_RECIPIENTS}")
+OTHER_HEADERS = Step(rf"(?i)([ \t>]*){_OTHERS}", " ", rf"(?i){QUOTED}{_OTHERS}")
+DISCLAIMER = Step(
+    r"(?i)[>*\s]+This\s+e-mail\s+is\s+the\s+property[\s\S]*estoppel\s+or\s+otherwise\.\s+Thank you\.[>*\s]+", "\n",
+    r"(?i)(?:(?<![>*\s])|\G)[>*\s]++This\s++e-mail\s++is\s++the\s++property[\s\S]*estoppel\s++or\s++otherwise\.\s++Thank you\.[>*\s]++",
+)
+ORIGINAL_MESSAGE = Step(r"(?i)-+\s*Original\s+Message\s*-+", " ", r"(?i)(?<!-)-++\s*+Original\s++Message\s*+-++")
+_BLOCK = r"(([> \t\n\r\f\x0B]*)([^\s+*_=#~<>/-]+)(([> \t\n\r\f\x0B]+[^>\s]+){0,300}?)([> \t\n\r\f\x0B]*))\k<pf>"
 RULED_BLOCK = Step(
-    r"(?i)(?<pf>(?<pfc>[+*_=#~<>/-])\k<pfc>{9,})(([> \t\n\r\f\x0B]*)([^\s+*_=#~<>/-]+)(([> \t\n\r\f\x0B]+[^>\s]+){0,300}?)([> \t\n\r\f\x0B]*))\k<pf>", "\n"
+    r"(?i)(?<pf>(?<pfc>[+*_=#~<>/-])\k<pfc>{9,})" + _BLOCK, "\n",
+    # but for ">", which a block may start with, a rule can only be followed by its block where its run ends
+    r"(?i)(?<pf>[+]{10,}+|[*]{10,}+|_{10,}+|={10,}+|#{10,}+|~{10,}+|<{10,}+|/{10,}+|-{10,}+|(?:(?<!>)|\G)>{10,})" + _BLOCK,
+    needs="|".join(rf"(?<![{c}])[{c}]{{10,}}+[^{c}][\s\S]*[{c}]{{10}}" for c in "+*_=#~<>/") + r"|(?<!-)-{10,}+[^-][\s\S]*-{10}",
 )
 #: Words whose sentences are dropped from a biography; blanks inside are missing, as the matched results have it.
 CAREER = (
@@ -119,8 +142,8 @@ def is_abbreviation(word: Column) -> Column:
 def r_steps(stop_words: list[str]) -> list[Step]:
     """Normaliser of lower-cased text: addresses, links, stop words, then punctuation and digits except quotes."""
     return [
-        Step(r"[a-z][!-~]*@[!-~]+ ", " "),
-        Step(r"[a-z]+://[!-~]+", " "),
+        Step(r"[a-z][!-~]*@[!-~]+ ", " ", r"(?:(?<![!-~])|\G)([!-`{-~]*+)[a-z][!-~]*@[!-~]+ ", "$1 "),
+        Step(r"[a-z]+://[!-~]+", " ", r"(?<![a-z])[a-z]++://[!-~]+"),
         Step(r"\b(" + "|".join(stop_words) + r")\b"),
         Step(r"[\x21\x23-\x26\x28-\x40\x5b-\x60\x7b-\x7f]+", " "),
     ]

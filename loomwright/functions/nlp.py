@@ -35,11 +35,13 @@ def r_sentences(text: Column, split: str | None = None) -> Column:
     if split is not None:
         return F.split(text, r"\Q" + split + r"\E")
     apart = C.chain(text, R_APART)
-    return F.split(apart, R_CUT)
+    return F.split(apart, R_CUT_STEADY)
 
 
-R_APART = [C.Step(r"([0-9A-Za-z]+)([!-/:-@\[-`{-~]+)", "$1 $2"), C.Step(r"([!-/:-@\[-`{-~]+)([0-9A-Za-z]+)", "$1 $2")]
+R_APART = [C.Step(r"([0-9A-Za-z]+)([!-/:-@\[-`{-~]+)", "$1 $2", r"([0-9A-Za-z])([!-/:-@\[-`{-~]++)"), C.Step(r"([!-/:-@\[-`{-~]+)([0-9A-Za-z]+)", "$1 $2", r"([!-/:-@\[-`{-~])([0-9A-Za-z]++)")]
 R_CUT = r"[ \t\n\x0B\f\r!-/:-@\[-`{-~]+[.!;:?][ \t\n\x0B\f\r]+"
+#: The same for Java's engine; a run is entered at its start only.
+R_CUT_STEADY = r"(?:(?<![ \t\n\x0B\f\r!-/:-@\[-`{-~])|\G)" + R_CUT
 
 
 def tokens(sentence: Column) -> Column:
@@ -47,6 +49,20 @@ def tokens(sentence: Column) -> Column:
     return F.regexp_extract_all(BLANKS(sentence), F.lit(TOKEN), F.lit(0))
 
 
+#: Penn Treebank conventions, fixed values: quotes, marks, brackets and contractions that are tokens of their own.
+TREEBANK = [
+    C.Step(r'^"', "`` "), C.Step(r'([ (\[{<])"', "$1 `` "), C.Step(r"([:,])([^0-9])", " $1 $2"), C.Step(r"([:,])$", " $1 "), C.Step(r"[.][.][.]", " ... "),
+    C.Step(r"([;@#$%&?!])", " $1 "), C.Step(r"""([^.])([.])([\])}>"']*)[ ]*$""", "$1 $2$3 "), C.Step(r"([^'])' ", "$1 ' "), C.Step(r"([\[\](){}<>])", " $1 "), C.Step(r"--", " -- "),
+    C.Step(r"$", " "), C.Step(r'"', " '' "), C.Step(r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "), C.Step(r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    C.Step(r"(?i)\b(can)(not)\b", "$1 $2"), C.Step(r"(?i)\b(gim|lem)(me)\b", "$1 $2"), C.Step(r"(?i)\b(gon|wan)(na)\b", "$1 $2"), C.Step(r"(?i)\b(got)(ta)\b", "$1 $2"),
+]
+
+
+def treebank_tokens(sentence: Column) -> Column:
+    """array<string>: words as the Penn Treebank has them, so that "don't" is "do", "n't" and a final stop stands alone."""
+    return F.filter(F.split(C.chain(BLANKS(sentence), TREEBANK), " "), lambda t: t != "")
+
+
 def suffix_tag(word: Column, gerunds: bool = True) -> Column:
     """The tag of the first suffix rule that matches, else null. gerunds: whether -ing is a rule."""
     rules = [(p, t) for p, t in SUFFIX_TAGS if gerunds or t != "VBG"]
