@@ -10,13 +10,23 @@ STOP_WORDS = {
 }
 LANGUAGES = sorted(STOP_WORDS)
 
-# Calendar, unit, mail and mark-up words that both domain lists leave out.
-_CALENDAR = "monday mon tuesday tue wednesday thursday thu friday fri saturday sat sunday january jan february feb march mar april apr june jun july jul august aug september sep october oct november nov december dec"
-_UNITS = "second seconds minute minutes hour hours day days week weeks month months year years total all"
-_MARKUP = "src img gif div bgcolor html serif href font nbsp"
-_MAIL = "cc bcc po tel fax am pm n't etc luck wish wishes hello bye disposal thanks fyi regards sorry"
-KEA_DOMAIN = f"{_MAIL} {_CALENDAR} {_UNITS} {_MARKUP} 've 'll thank tkx thx forward forwards forwarded dear hi let lets get gets got please pls need needs average sum kwh mw sansserif know knows knew understand understands doubt doubts web enron".split()
-LDA_DOMAIN = f"{_MAIL} {_CALENDAR} {_UNITS} {_MARKUP} date".split()
+#: Words that the keyphrase filter leaves out besides stop words.
+KEA_DOMAIN = """
+cc bcc po tel fax am pm n't etc 've 'll thanks thank tkx thx sorry regards luck wish wishes hello bye disposal
+forward forwards forwarded dear hi fyi let lets get gets got please pls need needs average sum
+monday mon tuesday tue wednesday thursday thu friday fri saturday sat sunday
+january jan february feb march mar april apr june jun july jul august aug september sep october oct november nov december dec
+second seconds minute minutes hour hours day days week weeks month months year years total all kwh mw
+src img gif div bgcolor html serif href font nbsp sansserif know knows knew understand understands doubt doubts web enron
+""".split()
+#: Words that drop a topic phrase besides stop words. "tuesdafy" is a slip that results depend on: Tuesday stays.
+LDA_DOMAIN = """
+cc bcc po tel fax am pm n't etc luck wish wishes hello bye disposal thanks fyi regards sorry wish date
+monday mon tuesdafy tue wednesday thursday thu friday fri saturday sat sunday
+january jan february feb march mar april apr june jun july jul august aug september sep october oct november nov december dec
+second seconds minute minutes hour hours day days week weeks month months year years total all
+src img gif div bgcolor html serif href font nbsp
+""".split()
 
 KEA_STOP = sorted({*STOP_WORDS["en"], *KEA_DOMAIN})
 LDA_STOP = sorted({*STOP_WORDS["en"], *LDA_DOMAIN})
