@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, NumericType, StringType
 
 EPOCH = "2014-01-01"
 
@@ -95,6 +98,77 @@ def deciles(df: DataFrame, part: str, columns: list[str], approximate: bool = Fa
     return held.select(part, "name", F.posexplode("d").alias("decile", "value")).withColumn("value", F.round("value", 6))
 
 
+def with_level(df: DataFrame, column: str, level: str = "-") -> DataFrame:
+    """df with null of a factor as a level of its own."""
+    return df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit(level)))
+
+
+def level_counts(df: DataFrame, column: str, levels: tuple[str, ...] = ("-",)) -> DataFrame:
+    """(level, n) of a factor; levels are listed even where no row has them."""
+    listed = df.sparkSession.createDataFrame([(x, 0) for x in levels], "level string, n bigint")
+    own = with_level(df, column).groupBy(F.col(column).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return own.unionByName(listed).groupBy("level").agg(F.sum("n").alias("n"))
+
+
+def drift(before: DataFrame, after: DataFrame, factors: list[str], numbers: list[str]) -> DataFrame:
+    """(name, kind, at, before, after): counts of each level of the factors, and deciles of the numbers, of two tables side by side."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        levels = df.select(*(F.col(c).cast("string").alias(c) for c in factors)).unpivot([], factors, "name", "at").groupBy("name", "at").agg(F.count(F.lit(1)).cast("double").alias(name)).withColumn("kind", F.lit("level"))
+        own = deciles(df.withColumn("part_", F.lit(1)), "part_", numbers).select("name", F.lpad(F.col("decile").cast("string"), 2, "0").alias("at"), F.col("value").alias(name), F.lit("decile").alias("kind"))
+        return levels.unionByName(own)
+
+    joined = side(before, "before").join(side(after, "after"), ["name", "kind", "at"], "full")
+    return joined.select("name", "kind", "at", "before", "after")
+
+
+def numeric_columns(df: DataFrame, leave_out: str = "^$") -> list[str]:
+    """The names of the columns that are numbers by their type and don't match the pattern, in order."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and not re.search(leave_out, f.name)]
+
+
+def terms(df: DataFrame, label: str, few: int = 8, leave_out: str = "^$") -> DataFrame:
+    """(name, kind, n, term) of all columns but the label, from schema and data: the term that each gets in a model.
+
+    Numbers of under ``few`` different values are linear, others smooth; text columns are random effects. Columns of
+    other types, or that match leave_out, get none.
+    """
+    held = [f for f in df.schema.fields if f.name != label and not re.search(leave_out, f.name) and isinstance(f.dataType, (NumericType, StringType))]
+    kinds = {f.name: "number" if isinstance(f.dataType, NumericType) else "factor" for f in held}
+    # one row per column and different value is exchanged, whatever the number of columns
+    values = df.select(*(F.col(c).cast("string").alias(c) for c in kinds)).unpivot([], list(kinds), "name", "value").filter("value is not null").distinct()
+    n = values.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    factors = [c for c, k in kinds.items() if k == "factor"]
+    kind = F.when(F.col("name").isin(factors), "factor").otherwise("number")
+    term = F.when(kind == "factor", F.concat(F.lit("s("), "name", F.lit(",bs='re')"))).when(F.col("n") < few, F.col("name")).otherwise(F.concat(F.lit("s("), "name", F.lit(",bs='cr',k=4)")))
+    return n.select("name", kind.alias("kind"), "n", term.alias("term"))
+
+
+def formula(df: DataFrame, label: str, few: int = 8, leave_out: str = "^$") -> str:
+    """The model formula of terms(), by name."""
+    return f"{label} ~ " + " + ".join(r["term"] for r in terms(df, label, few, leave_out).orderBy("name").collect())  # one row per column
+
+
+def coerced(df: DataFrame, types: dict[str, str], missing: str = "-") -> DataFrame:
+    """df with the type of the first pattern that a column's name matches; ``missing`` and what has no such type become null."""
+
+    def one(name: str) -> Column:
+        kind = next((t for p, t in types.items() if re.search(p, name)), None)
+        return F.col(name) if kind is None else F.when(F.trim(F.col(name).cast("string")) != missing, F.col(name).cast("string").try_cast(kind)).alias(name)
+
+    return df.select(*(one(c) for c in df.columns))
+
+
+def inspection(df: DataFrame) -> DataFrame:
+    """(name, type, n, n_null, n_distinct, least, most) of every column of plain type, values as text in order of the text."""
+    types = dict(df.dtypes)
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    long = df.select(*(F.col(c).cast("string").alias(c) for c in plain)).unpivot([], plain, "name", "value")
+    counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("k")).groupBy("name").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("k"))), F.lit(0)).alias("n_null"), F.count("value").alias("n_distinct"), F.min("value").alias("least"), F.max("value").alias("most"))
+    kinds = F.create_map(*(F.lit(x) for c in plain for x in (c, types[c])))
+    return counts.select("name", F.element_at(kinds, F.col("name")).alias("type"), "n", "n_null", "n_distinct", "least", "most")
+
+
 def one_hot(df: DataFrame, key: str, levels: dict[str, list[str]]) -> DataFrame:
     """key and a 0/1 column for each level of each factor."""
     return df.select(key, *((F.coalesce(F.col(c) == x, F.lit(False))).cast("int").alias(level_name(c, x)) for c, xs in levels.items() for x in xs))

@@ -4,40 +4,66 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions import cleaning as C
 from loomwright.functions.lexicon import STOP_WORDS
+from loomwright.operators.topics import TO_LETTERS, UNPRINTED
 
 STOP = STOP_WORDS["en"]
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _phrases(text: bytes, stop: frozenset[bytes]) -> tuple[int, dict[bytes, list[int]]]:
+    """(number of words, {phrase: [occurrences, first word]}) of a text."""
+    words = text.translate(TO_LETTERS, UNPRINTED).split()
+    n, found = len(words), {}
+    good = [len(w) > 2 and w not in stop for w in words]
+    for size in (1, 2, 3):
+        for i in range(n - size + 1):
+            if good[i] and good[i + size - 1]:
+                phrase = words[i] if size == 1 else b" ".join(words[i : i + size])
+                if phrase in found:
+                    found[phrase][0] += 1
+                else:
+                    found[phrase] = [1, i]
+    return n, found
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 1 << 16) -> DataFrame:
     """(id, phrase, tf, first_position): runs of 1-3 words that neither start nor end with a stop or short word.
 
-    first_position is the share of the document's words before the first occurrence.
+    first_position is the share of the document's words before the first occurrence. One row of docs is one document,
+    counted where it is read; nothing is exchanged. A null or empty text gives no rows.
     """
-    words = F.regexp_extract_all(F.lower(C.printable(F.col(text_col))), F.lit("[a-z]+"), F.lit(0))
-    held = docs.select(id_col, words.alias("w")).select(id_col, "w", F.size("w").alias("n_words"))
-    stop = F.array(*map(F.lit, STOP))
-    good = F.transform("w", lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x))
-    held = held.withColumn("good", good).select(id_col, "w", "n_words", "good")
-
-    def at(n: int):
-        starts = F.when(F.col("n_words") >= n, F.sequence(F.lit(0), F.col("n_words") - n)).otherwise(F.array().cast("array<int>"))
-        fits = F.filter(starts, lambda i: F.get("good", i) & F.get("good", i + n - 1))
-        return F.transform(fits, lambda i: F.struct(i.alias("p"), F.array_join(F.slice("w", i + 1, n), " ").alias("phrase")))
-
-    listed = held.select(id_col, "n_words", F.explode(F.concat(at(1), at(2), at(3))).alias("c"))
-    counted = listed.groupBy(id_col, F.col("c.phrase").alias("phrase")).agg(F.count(F.lit(1)).alias("tf"), F.min("c.p").alias("p"), F.first("n_words").alias("n_words"))
+    stop = frozenset(w.encode() for w in STOP)
+
+    def count(batches):
+        for batch in batches:
+            at, phrases, tf, first, sizes = [], [], [], [], []
+            for k, value in enumerate(batch.column(1).cast(pa.binary())):
+                n, found = _phrases(value.as_py() or b"", stop)
+                at.extend([k] * len(found))
+                phrases.extend(found)
+                tf.extend(x for x, _ in found.values())
+                first.extend(x for _, x in found.values())
+                sizes.extend([n] * len(found))
+                if len(at) > rows or k == batch.num_rows - 1:
+                    yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(first, pa.int64()), pa.array(sizes, pa.int64())], names=[id_col, "phrase", "tf", "p", "n_words"])
+                    at, phrases, tf, first, sizes = [], [], [], [], []
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    counted = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(count, f"`{id_col}` {kind}, phrase string, tf bigint, p bigint, n_words bigint")
     return counted.select(id_col, "phrase", "tf", F.round(F.col("p") / F.col("n_words"), 6).alias("first_position"))
 
 
 def weighed(found: DataFrame, n_docs: int, id_col: str = "doc_id") -> DataFrame:
-    """Candidates with tfidf = tf * ln(n_docs / df)."""
-    df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    return found.join(df, "phrase").withColumn("tfidf", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
+    """Candidates with tfidf = tf * ln(n_docs / df).
+
+    Most phrases stand in one document. Only those of several make a table, which Spark sends around if it proves small.
+    """
+    df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    return found.join(df, "phrase", "left").withColumn("tfidf", F.col("tf") * F.log(F.lit(float(n_docs)) / F.coalesce("df", F.lit(1)))).drop("df")
 
 
 def top_phrases(found: DataFrame, n_docs: int, k: int, id_col: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.operators.running import running_sums
+from loomwright.operators.running import previous, running_sums
 
 
 def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -35,6 +35,12 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "p") -> DataFra
     return roc(df, label, score).select("p", F.round(F.col("fp") / F.col("neg"), 6).alias("fpr"), F.round(F.col("tp") / F.col("pos"), 6).alias("tpr"))
 
 
+def falling_steps(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
+    """One row: n points of the curve and n_falling, those where a rate is below that of the next higher score."""
+    held = previous(roc(df, label, score), "p", ["tp", "fp"])
+    return held.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("tp") < F.col("prev_tp")) | (F.col("fp") < F.col("prev_fp"))).alias("n_falling"))
+
+
 def auc(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
     """One row: auc_step (left sums, without the segment of the least score) and auc_exact (ties count half)."""
     r = roc(df, label, score)

@@ -89,23 +89,49 @@ def centroid(points: DataFrame) -> list[float]:
     return [r["m"] for r in rows]
 
 
-def boundary(points: DataFrame, tolerance: float = 1e-9, block: int = 2000) -> DataFrame:
-    """(id): points such that all points lie on the centroid's side of them, (x_j - x_i) . (c - x_i) >= 0 for all j."""
-    centre, least = np.array(centroid(points)), None
-    for ids, vectors in _blocks(points, block):
-        towards = centre - vectors
-        own = (vectors * towards).sum(axis=1)
-
-        def partial(_, x, ids=ids, towards=towards, own=own):
-            return [ids, (x @ towards.T - own).min(axis=0)]
+def _beyond(points: DataFrame, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray) -> DataFrame:
+    """(id, least) for each of a block's points i: the least (x_j - x_i) . (c - x_i) over the points j of a batch."""
+    towards = centre - vectors
+    own = (vectors * towards).sum(axis=1)
+    return _scan(points, lambda _, x: [ids, (x @ towards.T - own).min(axis=0)], "id bigint, least double")
+
+
+def boundary(points: DataFrame, tolerance: float = 1e-9, block: int = BLOCK, probe: int = 2000) -> DataFrame:
+    """(id): points such that all points lie on the centroid's side of them, (x_j - x_i) . (c - x_i) >= 0 for all j.
+
+    All points are first held against ``probe`` of them, which shows most others to lie inside; what is left is held
+    against all, a block at a time.
+    """
+    centre = np.array(centroid(points))
+    some = points.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(probe).collect()  # probe rows
+    if not some:
+        return points.select("id").limit(0)
+    known = np.array([r["v"] for r in some], np.float64)
 
-        one = _scan(points, partial, "id bigint, least double")
+    def inside(batches):
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            if len(x):
+                towards = centre - x
+                keep = (towards @ known.T - (x * towards).sum(axis=1)[:, None]).min(axis=1) >= -tolerance
+                yield batch.filter(pa.array(keep))
+
+    held = points.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    left = durable(held.mapInArrow(inside, held.schema), "edge")
+    least = None
+    for ids, vectors in _blocks(left, block):
+        one = _beyond(points, ids, vectors, centre)
         least = one if least is None else least.unionByName(one)
     if least is None:
         return points.select("id").limit(0)
     return least.groupBy("id").agg(F.min("least").alias("least")).filter(F.col("least") >= -tolerance).select("id")
 
 
+def some_of(points: DataFrame, most: int = 24) -> DataFrame:
+    """At most ``most`` rows, those with the least MD5 of their id: a random subset that is the same on every run, in order of id."""
+    return points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(most).orderBy("id")
+
+
 def numbered(points: DataFrame, per_range: int = BLOCK) -> tuple[DataFrame, int]:
     """points with at, 0 to n - 1, and n: rows are numbered within hash ranges, each starting where those before it end."""
     parts = -(-points.count() // per_range)

@@ -22,3 +22,16 @@ def running_sums(df: DataFrame, by: str, sums: list[str], parts: int = 256, desc
     inside = Window.partitionBy("range_").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.select("*", *(F.sum(x).over(inside).alias(f"in_{x}") for x in sums)).join(F.broadcast(offsets), "range_")
     return summed.select(*df.columns, *((F.col(f"in_{x}") + F.col(f"off_{x}")).alias(f"run_{x}") for x in sums))
+
+
+def previous(df: DataFrame, by: str, columns: list[str], parts: int = 256, descending: bool = True) -> DataFrame:
+    """df with prev_<c> for each of columns: its value in the row before in order of ``by``; null in the first row."""
+    cuts = df.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)])).first()[0] or []
+    bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    placed = df.withColumn("range_", F.size(F.filter(bounds, lambda b: b < F.col(by))))
+    order, final = (F.desc, F.min_by) if descending else (F.asc, F.max_by)
+    ends = placed.groupBy("range_").agg(final(F.struct(*columns), by).alias("end"))
+    ends = ends.select("range_", F.lag("end").over(Window.orderBy(order("range_"))).alias("end"))  # parts rows at most
+    inside = Window.partitionBy("range_").orderBy(order(by))
+    held = placed.withColumn("own", F.lag(F.struct(*columns)).over(inside)).join(F.broadcast(ends), "range_").withColumn("own", F.coalesce("own", "end"))
+    return held.select(*df.columns, *(F.col("own").getField(c).alias(f"prev_{c}") for c in columns))

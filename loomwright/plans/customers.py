@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import features as U
 from loomwright.operators import metrics as M
+from loomwright.operators.running import running_sums
 from loomwright.plans.catalog import query, table
 
 H1, H2, NEXT = ("1998-01-01", "1998-06-30"), ("1998-07-01", "1998-12-31"), ("1999-01-01", "1999-06-30")
 LEVELS = {"channel": ["F", "O", "P"], "time_cat": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "loc_cat": ["A", "N", "R"], "mc_cat": ["F", "O"]}
-POIS = [1, 2, 3, 5, 8]
+#: Places of the points of interest that tell most, by signed score: the five highest, the five lowest.
+TELLING = 5
+SLOTS = [f"{side}_{k}" for side in ("pos", "neg") for k in range(1, TELLING + 1)]
 CAT_SQL = {"channel": "o_orderstatus", "time_cat": "o_orderpriority", "loc_cat": "l_returnflag", "mc_cat": "l_linestatus"}
 
 ACTS_SQL = f"""acts AS (SELECT o_custkey AS user_id, l_suppkey AS poi_id, CAST(o_orderdate AS DATE) AS day, {', '.join(f'{v} AS {k}' for k, v in CAT_SQL.items())}, l_orderkey, l_linenumber, l_extendedprice AS amount
@@ -67,13 +70,41 @@ def user_activity_counts(spark: SparkSession, sf: str) -> DataFrame:
     return activities(spark, sf).filter(U.in_period(F.col("day"), *H1)).groupBy("user_id").agg(F.count(F.lit(1)).alias("avt_cnt"))
 
 
+def _signed_sql(windowed: bool) -> str:
+    parts = []
+    for flag, (a, b) in (("tt_b", H1), ("tt_next", H2)):
+        when = f"day BETWEEN '{a}' AND '{b}'" if windowed else "true"
+        for sign, has in (("", flag), ("-", f"NOT {flag}")):
+            parts.append(f"SELECT poi_id, {sign}(count(*) / sum(count(*)) OVER ()) AS s FROM a WHERE {when} AND {has} GROUP BY poi_id")
+    return f"WITH {ACTS_SQL}, {USERS_SQL}, a AS (SELECT acts.*, tt_b, tt_next FROM acts JOIN users USING (user_id)), s AS ({' UNION ALL '.join(parts)}), p AS (SELECT DISTINCT poi_id FROM a), scores AS (SELECT p.poi_id, round(coalesce(sum(s), 0), 9) AS score FROM p LEFT JOIN s ON p.poi_id = s.poi_id GROUP BY p.poi_id)"
+
+
+def _signed(spark: SparkSession, sf: str, windowed: bool) -> DataFrame:
+    acts = activities(spark, sf).join(users(spark, sf).select("user_id", "tt_b", "tt_next"), "user_id")
+    a, b = (H1, H2) if windowed else ((None, None), (None, None))
+    return U.poi_signed_scores(acts, [("tt_b", *a), ("tt_next", *b)])
+
+
+TOPBOTTOM_SQL = f"{_signed_sql(True)} SELECT *, 'pos' AS side FROM (SELECT * FROM scores ORDER BY score DESC, poi_id LIMIT {TELLING}) WHERE score > 0 UNION ALL SELECT *, 'neg' AS side FROM (SELECT * FROM scores ORDER BY score, poi_id DESC LIMIT {TELLING}) WHERE score < 0"
+TELL_SQL = f"SELECT poi_id, side || '_' || row_number() OVER (PARTITION BY side ORDER BY abs(score) DESC, CASE side WHEN 'pos' THEN poi_id ELSE -poi_id END) AS slot FROM ({TOPBOTTOM_SQL})"
+
+
+def telling(spark: SparkSession, sf: str) -> DataFrame:
+    """(poi_id, slot): the points of interest that tell most and their places; 2 * TELLING rows at most."""
+    found = M.top_bottom(_signed(spark, sf, True), "poi_id", TELLING).withColumn("tie", F.when(F.col("side") == "pos", F.col("poi_id")).otherwise(-F.col("poi_id")))
+    return M.numbered(found, ["side"], [F.desc(F.abs("score")), "tie"]).select("poi_id", F.concat_ws("_", "side", "rank").alias("slot"))
+
+
 COUNTS_SQL = ", ".join(f"count(*) FILTER ({c} = '{x}') AS \"{U.level_name(f'a{c}_cnt', x)}\"" for c, xs in LEVELS.items() for x in xs)
-POI_SQL = ", ".join(f"count(*) FILTER (poi_id = {x}) AS poi_id_{x}" for x in POIS)
+POI_SQL = ", ".join(f"count(*) FILTER (slot = '{x}') AS poi_id_{x}" for x in SLOTS)
 COUNT_NAMES = ["avt_cnt", *(U.level_name(f"a{c}_cnt", x) for c, xs in LEVELS.items() for x in xs)]
 
 
-def _counts(spark: SparkSession, sf: str, period: tuple[str, str], pois: list[int] | None = None) -> DataFrame:
-    return U.activity_counts(activities(spark, sf).filter(U.in_period(F.col("day"), *period)), "user_id", LEVELS, pois)
+def _counts(spark: SparkSession, sf: str, period: tuple[str, str], pois: bool = False) -> DataFrame:
+    acts = activities(spark, sf).filter(U.in_period(F.col("day"), *period))
+    if pois:
+        acts = acts.join(F.broadcast(telling(spark, sf)), "poi_id", "left")  # 2 * TELLING rows
+    return U.activity_counts(acts, "user_id", LEVELS, SLOTS if pois else None, "slot")
 
 
 @query("user_pivot_counts", f"WITH {ACTS_SQL} SELECT user_id, count(*) AS avt_cnt, {COUNTS_SQL} FROM acts WHERE day BETWEEN '{H1[0]}' AND '{H1[1]}' GROUP BY user_id")
@@ -82,12 +113,12 @@ def user_pivot_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features_sql(period: tuple[str, str], name: str = "feat") -> str:
-    filled = ", ".join(f'coalesce("{c}", -1) AS "{c}"' for c in COUNT_NAMES) + ", " + ", ".join(f"coalesce(poi_id_{x}, 0) AS poi_id_{x}" for x in POIS)
-    return f"""{name} AS (SELECT u.user_id, {filled} FROM (SELECT c_custkey AS user_id FROM customer) u LEFT JOIN (SELECT user_id, count(*) AS avt_cnt, {COUNTS_SQL}, {POI_SQL} FROM acts WHERE day BETWEEN '{period[0]}' AND '{period[1]}' GROUP BY user_id) f ON f.user_id = u.user_id)"""
+    filled = ", ".join(f'coalesce("{c}", -1) AS "{c}"' for c in COUNT_NAMES) + ", " + ", ".join(f"coalesce(poi_id_{x}, 0) AS poi_id_{x}" for x in SLOTS)
+    return f"""{name} AS (SELECT u.user_id, {filled} FROM (SELECT c_custkey AS user_id FROM customer) u LEFT JOIN (SELECT user_id, count(*) AS avt_cnt, {COUNTS_SQL}, {POI_SQL} FROM (SELECT acts.*, slot FROM acts LEFT JOIN ({TELL_SQL}) USING (poi_id)) WHERE day BETWEEN '{period[0]}' AND '{period[1]}' GROUP BY user_id) f ON f.user_id = u.user_id)"""
 
 
 def _features(spark: SparkSession, sf: str, period: tuple[str, str]) -> DataFrame:
-    return U.user_features(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), _counts(spark, sf, period, POIS), "user_id")
+    return U.user_features(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), _counts(spark, sf, period, pois=True), "user_id")
 
 
 @query("user_features_left", f"WITH {ACTS_SQL}, {features_sql(H1)} SELECT * FROM feat")
@@ -95,10 +126,10 @@ def user_features_left(spark: SparkSession, sf: str) -> DataFrame:
     return _features(spark, sf, H1)
 
 
-@query("activities_semi", f"WITH {ACTS_SQL}, {USERS_SQL} SELECT poi_id, count(*) AS n FROM acts WHERE user_id IN (SELECT user_id FROM users WHERE tt_b) AND poi_id IN ({', '.join(map(str, POIS))}) GROUP BY poi_id")
+@query("activities_semi", f"WITH {ACTS_SQL}, {USERS_SQL} SELECT poi_id, count(*) AS n FROM acts WHERE user_id IN (SELECT user_id FROM users WHERE tt_b) AND poi_id IN (SELECT poi_id FROM ({TELL_SQL})) GROUP BY poi_id")
 def activities_semi(spark: SparkSession, sf: str) -> DataFrame:
     flagged = users(spark, sf).filter("tt_b").select("user_id")
-    return activities(spark, sf).filter(F.col("poi_id").isin(POIS)).join(flagged, "user_id", "left_semi").groupBy("poi_id").agg(F.count(F.lit(1)).alias("n"))
+    return activities(spark, sf).join(F.broadcast(telling(spark, sf)), "poi_id", "left_semi").join(flagged, "user_id", "left_semi").groupBy("poi_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("poi_frequency", f"WITH {ACTS_SQL}, {USERS_SQL}, n AS (SELECT poi_id, count(*) AS n FROM acts WHERE user_id IN (SELECT user_id FROM users WHERE tt_b) GROUP BY poi_id) SELECT poi_id, round(n / sum(n) OVER (), 9) AS share FROM n")
@@ -107,21 +138,6 @@ def poi_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return U.poi_shares(activities(spark, sf).join(flagged, "user_id", "left_semi")).withColumn("share", F.round("share", 9))
 
 
-def _signed_sql(windowed: bool) -> str:
-    parts = []
-    for flag, (a, b) in (("tt_b", H1), ("tt_next", H2)):
-        when = f"day BETWEEN '{a}' AND '{b}'" if windowed else "true"
-        for sign, has in (("", flag), ("-", f"NOT {flag}")):
-            parts.append(f"SELECT poi_id, {sign}(count(*) / sum(count(*)) OVER ()) AS s FROM a WHERE {when} AND {has} GROUP BY poi_id")
-    return f"WITH {ACTS_SQL}, {USERS_SQL}, a AS (SELECT acts.*, tt_b, tt_next FROM acts JOIN users USING (user_id)), s AS ({' UNION ALL '.join(parts)}), p AS (SELECT DISTINCT poi_id FROM a), scores AS (SELECT p.poi_id, round(coalesce(sum(s), 0), 9) AS score FROM p LEFT JOIN s ON p.poi_id = s.poi_id GROUP BY p.poi_id)"
-
-
-def _signed(spark: SparkSession, sf: str, windowed: bool) -> DataFrame:
-    acts = activities(spark, sf).join(users(spark, sf).select("user_id", "tt_b", "tt_next"), "user_id")
-    a, b = (H1, H2) if windowed else ((None, None), (None, None))
-    return U.poi_signed_scores(acts, [("tt_b", *a), ("tt_next", *b)])
-
-
 @query("poi_signed_score", _signed_sql(True) + " SELECT * FROM scores")
 def poi_signed_score(spark: SparkSession, sf: str) -> DataFrame:
     return _signed(spark, sf, True)
@@ -132,9 +148,9 @@ def poi_signed_score_all_days(spark: SparkSession, sf: str) -> DataFrame:
     return _signed(spark, sf, False)
 
 
-@query("poi_topbottom", _signed_sql(True) + " SELECT *, 'pos' AS side FROM (SELECT * FROM scores ORDER BY score DESC, poi_id LIMIT 5) WHERE score > 0 UNION ALL SELECT *, 'neg' AS side FROM (SELECT * FROM scores ORDER BY score, poi_id DESC LIMIT 5) WHERE score < 0")
+@query("poi_topbottom", TOPBOTTOM_SQL)
 def poi_topbottom(spark: SparkSession, sf: str) -> DataFrame:
-    return M.top_bottom(_signed(spark, sf, True), "poi_id", 5)
+    return M.top_bottom(_signed(spark, sf, True), "poi_id", TELLING)
 
 
 @query("geo_fill_left", f"WITH {ACTS_SQL} SELECT l_orderkey, l_linenumber, coalesce(s.s_acctbal, -1.0) AS geo_x, coalesce(s.s_nationkey, -1) AS geo_y FROM acts LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s.s_suppkey = acts.poi_id")
@@ -286,3 +302,64 @@ def run_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     days = activities(spark, sf).groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
     gap = F.datediff("day", F.lag("day").over(Window.partitionBy("user_id").orderBy("day")))
     return days.select("user_id", F.col("day").cast("string").alias("day"), "n", F.coalesce(gap, F.lit(0)).cast("long").alias("gap"))
+
+
+@query("age_levels", "SELECT coalesce(age, '-') AS level, count(*)::BIGINT AS n FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS age FROM customer) GROUP BY 1 UNION ALL SELECT '-', 0 WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = 'BUILDING')")
+def age_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of a factor with "-" among them; BUILDING stands for what is missing."""
+    held = table(spark, sf, "customer").select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("age"))
+    return U.level_counts(held, "age")
+
+
+BEFORE, AFTER = "o_orderdate < TIMESTAMP '1998-07-01'", "o_orderdate >= TIMESTAMP '1998-07-01'"
+DRIFT_NUMBERS = ["o_totalprice", "o_shippriority"]
+
+
+def _drift_sql(side: str, when: str) -> str:
+    held = f"(SELECT * FROM orders WHERE {when})"
+    levels = " UNION ALL ".join(f"SELECT '{c}' AS name, 'level' AS kind, {c}::VARCHAR AS at, count(*)::DOUBLE AS {side} FROM {held} GROUP BY {c}" for c in ("o_orderstatus", "o_orderpriority"))
+    numbers = " UNION ALL ".join(f"SELECT '{c}', 'decile', lpad(unnest(range(11))::VARCHAR, 2, '0'), round(unnest(quantile_cont({c}::DOUBLE, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])), 6) FROM {held}" for c in DRIFT_NUMBERS)
+    return f"{levels} UNION ALL {numbers}"
+
+
+@query("drift_table", f"SELECT name, kind, at, before, after FROM ({_drift_sql('before', BEFORE)}) FULL JOIN ({_drift_sql('after', AFTER)}) USING (name, kind, at)")
+def drift_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels and deciles of two periods in one table."""
+    orders = table(spark, sf, "orders")
+    cut = F.lit("1998-07-01").cast("timestamp")
+    return U.drift(orders.filter(F.col("o_orderdate") < cut), orders.filter(F.col("o_orderdate") >= cut), ["o_orderstatus", "o_orderpriority"], DRIFT_NUMBERS)
+
+
+@query("activity_order", f"WITH {ACTS_SQL} SELECT l_orderkey, l_linenumber, user_id, row_number() OVER (PARTITION BY user_id ORDER BY date_diff('day', DATE '1992-01-01', day), l_orderkey, l_linenumber) AS place FROM acts")
+def activity_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Activities in order of user and day, each with its place among its user's."""
+    acts = activities(spark, sf).withColumn("day_no", U.day_number(F.col("day"), "1992-01-01"))
+    return M.numbered(acts, ["user_id"], ["day_no", "l_orderkey", "l_linenumber"], "place").select("l_orderkey", "l_linenumber", "user_id", "place")
+
+
+@query("user_runs", f"WITH {ACTS_SQL}, n AS (SELECT user_id, count(*) AS n FROM acts GROUP BY user_id) SELECT user_id, 1 + coalesce(sum(n) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, sum(n) OVER (ORDER BY user_id)::BIGINT AS last FROM n")
+def user_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each user's run of rows starts and ends when activities lie in order of user."""
+    n = activities(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    run = running_sums(n, "user_id", ["n"], descending=False)
+    return run.select("user_id", (F.col("run_n") - F.col("n") + 1).alias("first"), F.col("run_n").alias("last"))
+
+
+@query("roc_monotone", ROC_SQL + ", s AS (SELECT fpr, tpr, lag(tpr) OVER (ORDER BY p DESC) AS ltpr, lag(fpr) OVER (ORDER BY p DESC) AS lfpr FROM r) SELECT count(*) AS n, count(*) FILTER (tpr < ltpr OR fpr < lfpr) AS n_falling FROM s")
+def roc_monotone(spark: SparkSession, sf: str) -> DataFrame:
+    """How many steps of the curve fall; none may."""
+    return M.falling_steps(predicted(spark, sf))
+
+
+TERM_NUMBERS, TERM_FACTORS = ["c_acctbal", "c_nationkey"], ["c_mktsegment", "c_name"]
+
+
+@query("schema_terms", " UNION ALL ".join(f"SELECT '{c}' AS name, '{kind}' AS kind, count(DISTINCT {c}) AS n, {term} AS term FROM customer" for kind, cs in (("number", TERM_NUMBERS), ("factor", TERM_FACTORS)) for c in cs for term in ([f"'s({c},bs=''re'')'"] if kind == "factor" else [f"CASE WHEN count(DISTINCT {c}) < 8 THEN '{c}' ELSE 's({c},bs=''cr'',k=4)' END"])))
+def schema_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """What each column of customer is in a model formula, by its type and its number of values."""
+    return U.terms(table(spark, sf, "customer"), "c_custkey", leave_out="^c_(address|phone|comment)$")
+
+
+@query("inspection_summary", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, min({c}::VARCHAR) AS least, max({c}::VARCHAR) AS most FROM orders" for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")))
+def inspection_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return U.inspection(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")).drop("type")

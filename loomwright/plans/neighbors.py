@@ -48,17 +48,23 @@ def knn_pool(spark: SparkSession, sf: str) -> DataFrame:
     return N.k_nearest(negatives, first[0]["v"], K_POOL).withColumn("distance", F.round("distance", 6))
 
 
-@query(
-    "boundary_points",
-    f"""WITH {SIDES_SQL}, c AS (SELECT list(m ORDER BY k) AS c FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS k FROM pos) GROUP BY k)),
+BOUNDARY_SQL = f"""WITH {SIDES_SQL}, c AS (SELECT list(m ORDER BY k) AS c FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS k FROM pos) GROUP BY k)),
 t AS (SELECT id, v, list_transform(list_zip(c, v), lambda z: z[1] - z[2]) AS w FROM pos, c)
-SELECT a.id FROM t a JOIN pos b ON true GROUP BY a.id HAVING min(list_dot_product(b.v, a.w) - list_dot_product(a.v, a.w)) >= -1e-9""",
-)
+SELECT a.id FROM t a JOIN pos b ON true GROUP BY a.id HAVING min(list_dot_product(b.v, a.w) - list_dot_product(a.v, a.w)) >= -1e-9"""
+
+
+@query("boundary_points", BOUNDARY_SQL)
 def boundary_points(spark: SparkSession, sf: str) -> DataFrame:
     _, positives, _ = sides(spark, sf)
     return N.boundary(positives)
 
 
+@query("boundary_subset", f"SELECT id FROM ({BOUNDARY_SQL}) ORDER BY md5(id::VARCHAR) LIMIT 24")
+def boundary_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """At most 24 points of the boundary, drawn by a hash."""
+    return N.some_of(boundary_points(spark, sf))
+
+
 @query("pair_distance_median")
 def pair_distance_median(spark: SparkSession, sf: str) -> DataFrame:
     """A seeded sample of pairs: SQL has another generator."""

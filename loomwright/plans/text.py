@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import cleaning as C
 from loomwright.functions import lexicon as L
 from loomwright.functions import nlp
-from loomwright.operators import keyphrases, phrasecloud, topics
+from loomwright.operators import keyphrases, phrasecloud, tagger, topics
 from loomwright.plans.catalog import QUERIES, SQL, query, table
 from loomwright.session import durable
 
@@ -85,6 +85,25 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.size("s").alias("n_sentences"), F.array_max(F.transform("s", F.length)).alias("longest"), F.size(F.filter("s", lambda x: x.rlike(C.ALL_UPPER))).alias("n_upper"))
 
 
+@query("treebank_tokens", f"SELECT doc_id, array_to_string(flatten(list_transform({sentences_sql(CLEAN)}, lambda s: list_filter(string_split({C.chain_sql(nlp.BLANKS.sql('s'), nlp.TREEBANK)}, ' '), lambda t: t <> ''))), ' ') AS tokens FROM documents")
+def treebank_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    found = F.flatten(F.transform(nlp.sentences(C.printable(F.col("text"))), nlp.treebank_tokens))
+    return texts(spark, sf).select("doc_id", F.array_join(found, " ").alias("tokens"))
+
+
+@query("backoff_tags")
+def backoff_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags by a tagger that is trained on the passages of benchmark, as the rules tag them; SQL can't fold tags over a sentence."""
+
+    def sentences(docs: DataFrame) -> DataFrame:
+        return docs.select("doc_id", F.explode(nlp.sentences(C.printable(F.col("text")))).alias("s")).select("doc_id", nlp.tagged(nlp.tokens(F.col("s"))).alias("words"))
+
+    known = sentences(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    model = tagger.BackoffTagger.train(known, base=nlp.suffix_tag(F.col("word")))
+    found = model.apply(sentences(texts(spark, sf))).select("doc_id", F.explode("words").alias("w"))
+    return found.groupBy("doc_id", F.coalesce("w.tag", F.lit("none")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
 SCORES_SQL = ", ".join(f"len(list_intersect(w, {listed(L.STOP_WORDS[x])})) AS {x}" for x in L.LANGUAGES)
 LANGUAGE_SQL = f"""
 SELECT doc_id, lang, CASE {' '.join(f"WHEN {x} = greatest({', '.join(L.LANGUAGES)}) THEN '{x}'" for x in L.LANGUAGES)} END AS language, greatest({', '.join(L.LANGUAGES)}) AS hits

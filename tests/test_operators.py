@@ -118,3 +118,49 @@ def test_streams_equal_tables(spark, small, tmp_path):
     want = streams.clean_english(spark.read.parquet(f"{tmp_path}/in"))
     got = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(map(tuple, got.select("doc_id", "clean").collect())) == sorted(map(tuple, want.select("doc_id", "clean").collect()))
+
+
+def test_types_and_terms_from_the_schema(spark):
+    from loomwright.operators import features as U
+
+    df = spark.createDataFrame([(1, "-", "7", 0.5, "x", True), (2, "3", " ", 1.5, None, False), (3, "4.5", "oops", 2.5, "y", None)], "id int, a_cnt string, b_code string, v double, f string, flag boolean")
+    found = U.coerced(df, {"_cnt$": "double", "_code$": "int"}).orderBy("id")
+    assert [tuple(r) for r in found.select("a_cnt", "b_code", "f").collect()] == [(None, 7, "x"), (3.0, None, None), (4.5, None, "y")]
+    assert U.numeric_columns(df, "^id$") == ["v"] and U.numeric_columns(df) == ["id", "v"]
+    assert U.formula(df, "id", few=3, leave_out="^[ab]_") == "id ~ s(f,bs='re') + s(v,bs='cr',k=4)"
+    assert U.formula(df, "id", leave_out="^[abf]_?") == "id ~ v"
+    levels = {r.level: r.n for r in U.level_counts(df, "f", ("-", "z")).collect()}
+    assert levels == {"-": 1, "x": 1, "y": 1, "z": 0}
+    seen = {r.name: (r.type, r.n, r.n_null, r.n_distinct, r.least, r.most) for r in U.inspection(df).collect()}
+    assert seen["f"] == ("string", 3, 1, 2, "x", "y") and seen["flag"] == ("boolean", 3, 1, 2, "false", "true") and seen["v"] == ("double", 3, 0, 3, "0.5", "2.5")
+
+
+def test_previous_rows_across_ranges(spark):
+    from loomwright.operators.running import previous
+
+    df = spark.createDataFrame([(float(k), k * k) for k in range(50)], "p double, v long").repartition(5)
+    for down in (True, False):
+        got = {r.p: r.prev_v for r in previous(df, "p", ["v"], parts=7, descending=down).collect()}
+        assert got == {float(k): None if k == (49 if down else 0) else (k + 1) ** 2 if down else (k - 1) ** 2 for k in range(50)}
+
+
+def test_falling_steps_are_seen(spark):
+    from loomwright.operators import metrics as M
+
+    rows = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1)], "label int, p double")
+    assert tuple(M.falling_steps(rows).first()) == (3, 0)
+    # a label below 0 makes the count of positives fall
+    odd = spark.createDataFrame([(-1, 0.9), (1, 0.5), (0, 0.1)], "label int, p double")
+    assert M.falling_steps(odd).first()["n_falling"] >= 1
+
+
+def test_boundary_of_a_square(spark):
+    from loomwright.operators import neighbors as N
+
+    corners = [(0, [0.0, 0.0]), (1, [4.0, 0.0]), (2, [0.0, 4.0]), (3, [4.0, 4.0])]
+    inner = [(10 + k, [1.0 + k % 3, 1.0 + k // 3]) for k in range(9) if k != 4]
+    points = spark.createDataFrame(corners + inner, "id long, v array<double>")
+    for probe, block in ((100, 100), (1, 2)):
+        assert sorted(r.id for r in N.boundary(points, probe=probe, block=block).collect()) == [0, 1, 2, 3]
+    assert [r.id for r in N.some_of(points, 3).collect()] == sorted(sorted([k for k, _ in corners + inner], key=lambda k: __import__("hashlib").md5(str(k).encode()).hexdigest())[:3])
+    assert N.boundary(points.limit(0)).collect() == []
