@@ -23,6 +23,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return durable(moved.filter("a > b").distinct(), "edges")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether edges (a > b) are stars already: each a has one edge and is no b."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    degrees = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+    return degrees.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node that each node of edges reaches; a root that isn't in edges as a node is left out.
 
@@ -31,11 +38,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     least, most = F.least(a, b), F.greatest(a, b)
     now = durable(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(most.alias("a"), least.alias("b")).filter("a > b").distinct(), "edges")
-    mark = None
-    while True:
-        # a forest of stars has one edge per node, and no inner node: then nothing moves any more
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen[0] == 0 or seen == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = seen
+    while not _stars(now):
         now = _star(_star(now, large=True), large=False)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from loomwright.llm import queries
+from loomwright.llm import mixing, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, node long, kept string, size long, key string, blob string, run int, times int, label_id long, toxic int, row_id long, row string, own_id long, gone_id long, own_sha string, text_sha256 string, more boolean, shard int, h long"
 
@@ -58,6 +58,9 @@ def rows(df, *columns):
     return Counter(found)
 
 
+rows_of = rows
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -153,6 +156,33 @@ def test_op3(spark, folder, docs):
     assert rows(queries.op3_simhash_near_dedup(spark, folder), "doc_id", "fingerprint", "component_id") == Counter((k, f"{f:016x}", of[f]) for k, f in prints)
 
 
+def brute_sketch(text):
+    """Hashes of five-word runs below 1/16 of the range, or the least one; a run's hash takes each word's as the next seed."""
+    own = [xxhash.xxh64_intdigest(w, 42) for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+
+    def run(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        return seed
+
+    runs = {run(own[i : i + 5]) for i in range(max(len(own) - 4, 1))} if own else set()
+    kept = sorted(h for h in runs if h < 1 << 60)
+    return kept or sorted(runs)[:1]
+
+
+def test_op4_hashes(spark, folder, docs):
+    printed = lambda hashes: "".join(f"{h:016x}"[4:] for h in hashes)
+    alike = lambda a, b: len(set(a) & set(b)) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
+    found = {r.doc_id: r for r in queries.op4_document_fingerprints(spark, folder).collect()}
+    ordered = sorted({(k, x) for k, x, _ in docs})
+    for n, (k, text) in enumerate(ordered):
+        own, following = brute_sketch(text), ordered[(n + 1) % len(ordered)]
+        assert found[k].fingerprint == printed(own), k
+        if following[0] not in [k for k, c in Counter(k for k, *_ in docs).items() if c > 1] and k not in (4, 13):
+            assert found[k].near_next == pytest.approx(alike(own, brute_sketch(following[1]))), k
+
+
 def test_op4(spark, folder, docs):
     found = {r.doc_id: r for r in queries.op4_document_fingerprints(spark, folder).collect()}
     ordered = sorted({(k, x) for k, x, _ in docs})
@@ -204,6 +234,44 @@ def test_op5(spark, folder, docs):
         assert abs(taken[s] - target[s]) <= max(64, 0.01 * target[s])
 
 
+def chained(*values):
+    """Spark's xxhash64 of a row: each value's hash is the next one's seed; nulls are passed over. Integers come as bytes."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_op5_quotas_and_blocks(spark, folder, docs):
+    four, eight = (lambda k: k.to_bytes(4, "little", signed=True)), (lambda k: k.to_bytes(8, "little", signed=True))
+    rows = [(k, s, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x, s in docs]
+    names = sorted({s for _, s, _ in rows if s is not None}) + [None] * any(s is None for _, s, _ in rows)
+    sizes = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    targets = dict(zip(names, mixing.targets([sizes[s] for s in names], [k % 3 + 1 for k in range(len(names))])))
+    live = [s for s in names if sizes[s]]
+    blocks = {s: -(-sizes[s] // 16) for s in live}
+    share = {s: targets[s] / 16 for s in live}
+    quota = {s: 0 for s in live}
+    for _ in range(round(sum(share.values()))):
+        best = max((s for s in live if quota[s] < 3 * blocks[s]), key=lambda s: (share[s] / (2 * quota[s] + 1), -names.index(s)))
+        quota[best] += 1
+    want = Counter()
+    for s in names:
+        stream = sorted((chained(four(7), eight(k), eight(n)), k, n) for k, t, n in rows if t == s)
+        start = 0
+        for _, k, n in stream:
+            taken = 0
+            if n:
+                times, more = divmod(quota[s], blocks[s])
+                lead = chained(four(7), s, four(0)) % blocks[s]
+                again = {b % blocks[s] for b in range(lead, lead + more)}
+                taken = n * times + sum((w // 16) in again for w in range(start, start + n))
+            want[k, n, sizes[s], taken] += 1
+            start += n
+    assert rows_of(queries.op5_mix_sources(spark, folder), "doc_id", "size", "source_size", "taken") == want
+
+
 def test_op7(spark, folder, docs):
     ids = defaultdict(list)
     for k, x, _ in docs:
