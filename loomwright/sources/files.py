@@ -118,6 +118,17 @@ def topic_reports(lines: DataFrame) -> DataFrame:
     return heads.join(labels, ["doc_id", "topic"], "left").drop("topic")
 
 
+def report_order(reports: DataFrame) -> DataFrame:
+    """(doc_id, rank, n_labels, in_order) of topic_reports(): whether a topic weighs no more than the one before, its labels'
+    scores fall, and its first label is its own."""
+    topics = reports.groupBy("doc_id", "rank").agg(
+        F.first("weight").alias("weight"), F.first("weighted_label").alias("own"), F.count("label").alias("n_labels"), F.min_by("label", "pos").alias("top"), F.array_sort(F.collect_list(F.struct("pos", "score")))["score"].alias("scores")
+    )
+    before = F.lag("weight").over(Window.partitionBy("doc_id").orderBy("rank"))
+    falls = F.col("scores") == F.sort_array("scores", asc=False)
+    return topics.select("doc_id", "rank", "n_labels", (F.coalesce(before >= F.col("weight"), F.lit(True)) & falls & ((F.col("n_labels") == 0) | (F.col("top") == F.col("own")))).alias("in_order"))
+
+
 def report_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, value) of documents (doc_id, text)."""
     return docs.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "value")).filter(F.trim("value") != "")

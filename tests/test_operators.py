@@ -41,6 +41,33 @@ def test_topic_reports(spark):
     assert got == [("a", 1, 1, "Tea", -0.5, "Tea"), ("a", 1, 2, "Cup", -0.75, "Tea"), ("a", 2, 1, "Sea", -0.0, "Sea"), ("b", 1, 1, "Tea", 3.0, "Tea")]
 
 
+def test_report_order(spark):
+    good = "Topic: 1| cluster_index: 4| word_count: 7.5| weighted_label: Tea\n Tea: 5\n Cup: 2\nTopic: 2| cluster_index: 0| word_count: 3| weighted_label: Sea\n Sea: 1"
+    bad = "Topic: 1| cluster_index: 4| word_count: 2| weighted_label: Tea\n Tea: 1\n Cup: 2\nTopic: 2| cluster_index: 0| word_count: 3| weighted_label: Sea\n Sea: 1"
+    reports = files.topic_reports(files.report_lines(spark.createDataFrame([("good", good), ("bad", bad)], "doc_id string, text string")))
+    got = {(r.doc_id, r["rank"]): (r.n_labels, r.in_order) for r in files.report_order(reports).collect()}
+    assert got == {("good", 1): (2, True), ("good", 2): (1, True), ("bad", 1): (2, False), ("bad", 2): (1, False)}
+
+
+def test_listings_labels_and_sinks(spark, tmp_path):
+    for month, name in ((1, "a"), (2, "b")):
+        (tmp_path / "mail" / "year=2001" / f"month={month}").mkdir(parents=True)
+        (tmp_path / "mail" / "year=2001" / f"month={month}" / f"{name}.txt").write_text(f"text {name}\nmore")
+    got = {(r.text, r.year, r.month) for r in files.partitioned(spark, f"{tmp_path}/mail").collect()}
+    assert got == {("text a\nmore", 2001, 1), ("text b\nmore", 2001, 2)}
+    assert [r.path for r in files.listing(spark, f"{tmp_path}/mail").collect()] == ["year=2001/month=1/a.txt", "year=2001/month=2/b.txt"]
+    (tmp_path / "keys").mkdir()
+    (tmp_path / "keys" / "1.txt").write_text("red tea|||sea\n")
+    assert [tuple(r) for r in files.label_files(spark, f"{tmp_path}/keys").collect()] == [("1.txt", ["red tea", "sea"])]
+    files.write_cleaned(spark.createDataFrame([(1, "x")], "doc_id long, clean string"), f"{tmp_path}/clean")
+    assert spark.read.parquet(f"{tmp_path}/clean").first().clean == "x"
+    (tmp_path / "h.csv").write_text("n,v\n1,2.5\nbad,x\n")
+    assert [tuple(r) for r in files.delimited(spark, f"{tmp_path}/h.csv", "n int, v double").collect()] == [(1, 2.5)]
+    files.matrix_market(spark.createDataFrame([(0, 1, 4), (1, 0, 2)], "doc_no long, token_id long, n long"), 2, 2, 2, f"{tmp_path}/mm")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/mm/head").collect()] == ["%%MatrixMarket matrix coordinate real general", "2 2 2"]
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/mm/body").collect()) == ["1 2 4", "2 1 2"]
+
+
 def test_areas(spark):
     get = lambda rows: tuple(metrics.auc(spark.createDataFrame(rows, "label int, p double")).first())
     assert get([(0, 0.1), (0, 0.2), (1, 0.8), (1, 0.9)]) == (0.5, 1.0)
