@@ -12,7 +12,6 @@ marks go into a score; language, source and identifier don't.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -22,7 +21,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.session import durable
@@ -201,21 +200,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w[:-1], float(w[-1])
 
 
-def bottoms(text: str, most: int = 16) -> list[int]:
-    """The least hashes of a text's word triples, ascending: near copies share most of them."""
+#: Least hashes of a signature, and how many of them make a band.
+HASHES, BAND = 16, 4
+_TURNS = np.random.default_rng(7).integers(0, 1 << 63, (2, HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(text: str) -> list[int]:
+    """The least values of a text's word triples under HASHES hash functions: texts agree in a share of them that estimates their similarity."""
     words = text.lower().split()
     triples = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [tuple(words)]
-    return heapq.nsmallest(most, {xxhash.xxh64_intdigest(" ".join(t)) >> 1 for t in triples})
+    found = np.array([xxhash.xxh64_intdigest(" ".join(t)) for t in triples], np.uint64)
+    return (_TURNS[0] * found + _TURNS[1]).min(axis=1).view(np.int64).tolist()
 
 
-def unlike(sketches: list[list[int]]) -> list[int]:
-    """The places of the sketches that share under half of their hashes with each one kept before them."""
-    kept: list[int] = []
-    for k, own in enumerate(sketches):
-        own = set(own)
-        if all(2 * len(own & set(sketches[j])) < max(len(own), len(sketches[j])) for j in kept):
-            kept.append(k)
-    return kept
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(own_id, th) of rows (own_id, th, toxic, sketch) that agree in half of their signature with the first row, by id, of some band they share with it."""
+    keys = F.array(*(F.xxhash64(F.slice("sketch", k + 1, BAND)) for k in range(0, HASHES, BAND)))
+    banded = rows.select("own_id", "th", "toxic", "sketch", F.posexplode(keys).alias("band", "key"))
+    lead = F.first(F.struct("own_id", "th", "sketch")).over(Window.partitionBy("toxic", "band", "key").orderBy("own_id", "th"))
+    alike = F.size(F.filter(F.zip_with("sketch", "lead.sketch", lambda x, y: x == y), lambda same: same)) * 2 >= HASHES
+    other = (F.col("own_id") != F.col("lead.own_id")) | (F.col("th") != F.col("lead.th"))
+    return banded.withColumn("lead", lead).filter(other & alike).select("own_id", "th").distinct()
 
 
 def in_fold(id_col: str = "doc_id"):
@@ -247,18 +252,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = own.join(F.broadcast(drawn), F.col("own_id") == F.col("label_id")).select("text", F.col("toxic").cast("int").alias("toxic"), "own_id")
     kind = texts.schema["own_id"].dataType.simpleString()
     names = ["text", "toxic", "own_id", "sketch"]
-    keyed = _mapped(texts, lambda t, b: [*b.columns, pa.array([bottoms(x) for x in t], pa.list_(pa.int64()))], f"text string, toxic int, own_id {kind}, sketch array<bigint>", names)
+    keyed = _mapped(texts, lambda t, b: [*b.columns, pa.array([signature(x) for x in t], pa.list_(pa.int64()))], f"text string, toxic int, own_id {kind}, sketch array<bigint>", names)
     keyed = durable(keyed.withColumn("th", F.xxhash64("text")), "sketched")
-
-    def first(table):
-        table = table.sort_by([("own_id", "ascending"), ("th", "ascending")])
-        return table.take(unlike(table.column("sketch").to_pylist())).select(["own_id", "th"])
-
-    # of a class's texts with one least hash; at most max_labelled sketches of 16 numbers, without their texts
-    groups = keyed.select("own_id", "th", "toxic", "sketch").groupBy("toxic", F.get("sketch", F.lit(0)))
-    kept = durable(groups.applyInArrow(first, f"own_id {kind}, th bigint"), "unlike")
+    copies = durable(near_copies(keyed), "copies")
     # dealt out again, as what follows is heavy by row; the table is bounded
-    spread = keyed.join(F.broadcast(kept), ["own_id", "th"], "left_semi").repartition(docs.sparkSession.sparkContext.defaultParallelism, "own_id", "th")
+    spread = keyed.join(F.broadcast(copies), ["own_id", "th"], "left_anti").repartition(docs.sparkSession.sparkContext.defaultParallelism, "own_id", "th")
     sample = durable(spread.dropDuplicates(["own_id", "th"]).select("text", "toxic"), "sample")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(totals) < 2:

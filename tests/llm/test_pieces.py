@@ -117,10 +117,15 @@ def test_learning_is_the_same_in_any_partitioning(spark):
     assert all(m.lexicon == made[0].lexicon and m.bias == made[0].bias and (m.weights == made[0].weights).all() for m in made)
 
 
-def test_unlike_texts_stay_though_they_share_a_hash():
-    a, b = list(range(16)), [0, *range(100, 115)]
-    assert toxicity.unlike([a, b, a[:-1] + [50]]) == [0, 1]
-    assert toxicity.unlike([]) == [] and toxicity.bottoms("") == toxicity.bottoms(" ") and len(toxicity.bottoms("a b c d")) == 2
+def test_near_copies_of_the_sample(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    passage = " ".join(words[:60])
+    texts = [" ".join(words), " ".join([*words[:200], "new", *words[201:]]), *(passage + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(200)) for _ in range(30)), "", " "]
+    rows = [(k, k, 0, toxicity.signature(x)) for k, x in enumerate(texts)] + [(99, 99, 1, toxicity.signature(texts[0]))]
+    df = spark.createDataFrame(rows, "own_id long, th long, toxic int, sketch array<bigint>")
+    got = {r.own_id for r in toxicity.near_copies(df).collect()}
+    assert got == {1, 33} and {r.own_id for r in toxicity.near_copies(df.repartition(7)).collect()} == got
 
 
 def test_bpe_equals_the_library_on_random_text():
