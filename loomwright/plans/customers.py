@@ -312,7 +312,7 @@ def age_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BEFORE, AFTER = "o_orderdate < TIMESTAMP '1998-07-01'", "o_orderdate >= TIMESTAMP '1998-07-01'"
-DRIFT_NUMBERS = ["o_totalprice", "o_shippriority"]
+DRIFT_NUMBERS = ["o_totalprice", "o_custkey"]
 
 
 def _drift_sql(side: str, when: str) -> str:
