@@ -111,15 +111,15 @@ def level_counts(df: DataFrame, column: str, levels: tuple[str, ...] = ("-",)) -
 
 
 def drift(before: DataFrame, after: DataFrame, factors: list[str], numbers: list[str]) -> DataFrame:
-    """(name, kind, at, before, after): counts of each level of the factors, and deciles of the numbers, of two tables side by side."""
+    """(name, kind, place, before, after): counts of each level of the factors, and deciles of the numbers, of two tables side by side."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        levels = df.select(*(F.col(c).cast("string").alias(c) for c in factors)).unpivot([], factors, "name", "at").groupBy("name", "at").agg(F.count(F.lit(1)).cast("double").alias(name)).withColumn("kind", F.lit("level"))
-        own = deciles(df.withColumn("part_", F.lit(1)), "part_", numbers).select("name", F.lpad(F.col("decile").cast("string"), 2, "0").alias("at"), F.col("value").alias(name), F.lit("decile").alias("kind"))
+        levels = df.select(*(F.col(c).cast("string").alias(c) for c in factors)).unpivot([], factors, "name", "place").groupBy("name", "place").agg(F.count(F.lit(1)).cast("double").alias(name)).withColumn("kind", F.lit("level"))
+        own = deciles(df.withColumn("part_", F.lit(1)), "part_", numbers).select("name", F.lpad(F.col("decile").cast("string"), 2, "0").alias("place"), F.col("value").alias(name), F.lit("decile").alias("kind"))
         return levels.unionByName(own)
 
-    joined = side(before, "before").join(side(after, "after"), ["name", "kind", "at"], "full")
-    return joined.select("name", "kind", "at", "before", "after")
+    joined = side(before, "before").join(side(after, "after"), ["name", "kind", "place"], "full")
+    return joined.select("name", "kind", "place", "before", "after")
 
 
 def numeric_columns(df: DataFrame, leave_out: str = "^$") -> list[str]:

@@ -317,12 +317,12 @@ DRIFT_NUMBERS = ["o_totalprice", "o_custkey"]
 
 def _drift_sql(side: str, when: str) -> str:
     held = f"(SELECT * FROM orders WHERE {when})"
-    levels = " UNION ALL ".join(f"SELECT '{c}' AS name, 'level' AS kind, {c}::VARCHAR AS at, count(*)::DOUBLE AS {side} FROM {held} GROUP BY {c}" for c in ("o_orderstatus", "o_orderpriority"))
+    levels = " UNION ALL ".join(f"SELECT '{c}' AS name, 'level' AS kind, {c}::VARCHAR AS place, count(*)::DOUBLE AS {side} FROM {held} GROUP BY {c}" for c in ("o_orderstatus", "o_orderpriority"))
     numbers = " UNION ALL ".join(f"SELECT '{c}', 'decile', lpad(unnest(range(11))::VARCHAR, 2, '0'), round(unnest(quantile_cont({c}::DOUBLE, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])), 6) FROM {held}" for c in DRIFT_NUMBERS)
     return f"{levels} UNION ALL {numbers}"
 
 
-@query("drift_table", f"SELECT name, kind, at, before, after FROM ({_drift_sql('before', BEFORE)}) FULL JOIN ({_drift_sql('after', AFTER)}) USING (name, kind, at)")
+@query("drift_table", f"SELECT name, kind, place, before, after FROM ({_drift_sql('before', BEFORE)}) FULL JOIN ({_drift_sql('after', AFTER)}) USING (name, kind, place)")
 def drift_table(spark: SparkSession, sf: str) -> DataFrame:
     """Levels and deciles of two periods in one table."""
     orders = table(spark, sf, "orders")
