@@ -1,16 +1,20 @@
 """Word shingles of whole texts: hashes, SimHash, and all pairs of a Jaccard similarity by an exact prefix filter.
 
 Two sets with similarity t or more share one of the first n - ceil(t n) + 1 members of each, in any order that all sets
-follow; so no pair is lost. The order puts common shingles last: by the counts of ``SLOTS`` hash slots over all
-documents, then by hash. The order decides only what candidates cost, not which pairs are found.
-
-A list of more than ``cap`` documents under one shingle isn't joined with itself at once, which would be quadratic: its
-least document is compared with the others and leaves the list, and documents that are connected already need no
-comparison. Lists that still hold several components after ``rounds`` such steps are joined in full.
+follow; so no pair is lost. The order puts common shingles last: by the magnitudes of the counts of ``SLOTS`` hash slots
+over all documents, then by hash. The order decides only what candidates cost, not which pairs are found.
+
+No list of documents under one shingle is joined with itself at once, which would be quadratic. The document that has the
+shingle earliest in its order, so the one with the fewest shingles of its own, is compared with the others and leaves the
+list: in a group of copies it is nearest to what they were copied from and connects nearly all. Documents that are
+connected already need no comparison, and one whose size and place fit none in the list leaves it. Lists of more than
+``cap`` documents that still hold several components take ``rounds`` more such steps. What is left is joined exactly:
+the documents outside the component of the earliest one with the whole list.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import components
+from loomwright.llm.rows import sent
 from loomwright.session import durable, small_batches
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WINDOW = 1 << 16
-SLOTS, CHUNK = 1 << 18, 1 << 12
+SLOTS, CHUNK = 1 << 22, 1 << 12
 
 
 def digest_runs(text: str | bytes | None, width: int) -> Iterator[bytes]:
@@ -74,30 +79,34 @@ def _texts(batch, column: str):
 
 
 def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """How many documents have a shingle in each slot. texts: (text, ...)."""
+    """How many documents have a shingle in each slot, as 12 times the binary logarithm of one more, 255 at most. texts: (text, ...).
+
+    A task's counts travel as packed arrays of CHUNK slots; nothing but a byte for each slot reaches the driver.
+    """
 
     def count(batches):
-        total, waiting, size = np.zeros(SLOTS, np.int64), [], 0
+        total = np.zeros(SLOTS, np.int32)
         for batch in batches:
             for x in _texts(batch, "text"):
-                waiting.append((shingle_set(x, width) % np.uint64(SLOTS)).astype(np.int32))
-                size += len(waiting[-1])
-                if size > 4 * SLOTS:
-                    total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
-                    waiting, size = [], 0
-        if size:
-            total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        for start in range(0, len(at), WINDOW):
-            some = at[start : start + WINDOW]
-            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
-
-    summed = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    chunks = summed.groupBy(F.expr(f"slot div {CHUNK}")).agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))
-    counts = np.zeros(SLOTS, np.int64)
-    for r in chunks.select("slots", "ns").collect():  # SLOTS numbers at most
-        counts[r["slots"]] = r["ns"]
-    return np.minimum(counts, 1 << 30).astype(np.int32)
+                np.add.at(total, (shingle_set(x, width) % np.uint64(SLOTS)).astype(np.int64), 1)
+        for k, part in enumerate(total.reshape(-1, CHUNK)):
+            if part.any():
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "n"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("n"), strict=True):
+                totals[k] = totals.get(k, 0) + np.frombuffer(zlib.decompress(raw.as_py()), np.int32).astype(np.int64)
+        for k, total in sorted(totals.items()):
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.minimum(255, np.round(12 * np.log2(1 + total))).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "n"])
+
+    kind, counts = "chunk int, n binary", np.zeros((SLOTS // CHUNK, CHUNK), np.uint8)
+    with small_batches(texts.sparkSession, 2000):
+        found = texts.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect()  # SLOTS bytes at most
+    for r in found:
+        counts[r["chunk"]] = np.frombuffer(r["n"], np.uint8)
+    return counts.ravel()
 
 
 def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -142,11 +151,14 @@ def verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, width: int,
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-    asked = prints.join(nodes, F.col("node") == F.col("asked"), "left_semi").select("node", F.col("id").alias("own"), F.col("th").alias("own_th"))
-    mine = texts.join(asked, F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text").mapInArrow(sets, "node bigint, s binary")
+    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), "nodes")
+    asked = prints.join(sent(nodes), F.col("node") == F.col("asked"), "left_semi").select("node", F.col("id").alias("own"), F.col("th").alias("own_th"))
+    asked = durable(asked, "asked")
+    mine = texts.join(sent(asked), F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text").mapInArrow(sets, "node bigint, s binary")
     with small_batches(texts.sparkSession):
-        mine = durable(mine.dropDuplicates(["node"]), "sets")
+        mine = durable(mine, "sets")
+        if mine.count() > asked.count():  # rows repeat
+            mine = durable(mine.dropDuplicates(["node"]), "sets")
     left, right = (mine.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     # a row has both sets, so few rows are held at once
@@ -163,33 +175,39 @@ def similar(prints: DataFrame, repeats: DataFrame, texts: DataFrame, tried: Data
     def fits(n, m, i, j):
         return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
 
-    def side(rows, s):
-        return rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key"))
-
-    def joined(rows, other):
-        return side(rows, "a").join(side(other, "b"), "key").filter(fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
+    def possible(n, i):
+        """Whether some size and place within a list's bounds would fit."""
+        return ((100 + percent) * (n - i) >= percent * (n + F.col("lo"))) & (100 * F.col("hi") - (100 + percent) * F.col("first") >= percent * n)
 
     def rooted(rows, roots):
         return rows.join(roots.select(F.col("node").alias("m"), F.col("root").alias("r")), F.col("node") == F.col("m"), "left").select(*rows.columns, F.coalesce("r", "node").alias("root"))
 
+    def side(rows, s, *more):
+        return rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in own), *more)
+
+    own, apart = ["node", "n", "pos", "root"], F.col("root") != F.col("c.root")
     placed = prints.join(repeats, F.col("node") == F.col("again"), "left_anti").select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    sizes = durable(placed.groupBy("key").count().filter("count > 1"), "lists")
-    lists = durable(placed.join(sizes, "key"), "listed")
-    small = lists.filter(F.col("count") <= cap).drop("count")
-    pairs = joined(small, small).filter("node_a > node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    found = verified(tried.unionByName(pairs), texts, prints, width, percent)
-    roots = durable(components(found), "roots")
-    lists = lists.filter(F.col("count") > cap).drop("count")
-    for k in range(rounds + 1):
-        known = durable(rooted(lists, roots), "known")
-        mixed = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t"), F.min(F.struct("node", "n", "pos", "root")).alias("least")).filter("r < t").select("key", "least.*")
-        mixed = durable(mixed, "mixed")
-        if mixed.isEmpty():
+    sizes = durable(placed.groupBy("key").count().filter("count > 1").select("key"), "keys")
+    lists = durable(placed.join(sizes, "key").select("key", "node", "n", "pos"), "listed")
+    found, roots = None, None
+    for k in range(rounds + 2):
+        known = lists.withColumn("root", F.col("node")) if roots is None else durable(rooted(lists, roots), "known")
+        bounds = [F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("t"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("first")]
+        mixed = durable(known.groupBy("key").agg(*bounds, F.min(F.struct("pos", "node", "n", "root")).alias("c")).filter("r < t").drop("r", "t"), "mixed")
+        if k and mixed.isEmpty():
             break
-        lists = known.join(mixed, "key", "left_semi")
-        pairs = joined(lists, mixed if k < rounds else lists).filter("root_a != root_b")
-        pairs = pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
-        found = found.unionByName(verified(pairs, texts, prints, width, percent))
+        lists = durable(known.join(mixed, "key").filter(possible(F.col("n"), F.col("pos"))).select("key", *own, "size", "c"), "lists")
+        stepped = F.lit(k == 0) | (F.lit(k <= rounds) & (F.col("size") > cap))
+        steps, whole = lists.filter(stepped), lists.filter(~stepped)
+        pairs = steps.filter(apart & fits(F.col("n"), F.col("c.n"), F.col("pos"), F.col("c.pos"))).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+        if k:
+            # documents outside the earliest one's component with all; two such documents come once
+            both = side(whole.filter(apart), "a").join(side(whole, "b", F.col("c.root").alias("main")), "key")
+            both = both.filter(fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")) & F.expr("root_a != root_b and (root_b = main or node_a > node_b)"))
+            pairs = pairs.unionByName(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        now = verified(pairs if k else tried.unionByName(pairs), texts, prints, width, percent)
+        found = now if found is None else found.unionByName(now)
         roots = durable(components(found), "roots")
-        lists = durable(lists.drop("root").join(mixed.select("key", "node"), ["key", "node"], "left_anti"), "left") if k < rounds else lists
+        lists = steps.filter(F.col("node") != F.col("c.node")).select("key", "node", "n", "pos")
     return roots

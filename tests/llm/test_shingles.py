@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from loomwright.llm import simhash
+from loomwright.llm import shingles, simhash
 
 LOWER = {k: k + 32 for k in range(65, 91)}
 
@@ -76,3 +76,26 @@ def test_ids_may_repeat_or_lack(spark):
     assert sum(got.values()) == 5 and got[3, near] == got[7, "quite another text of its own"] == got[8, ""] == 1
     assert sum(got[k, x] for k, x in ((None, "x y z"), (None, "X y  z"))) == 1 and got[2, "one"] + got[2, "ONE"] == 1
     assert simhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def test_comparisons_follow_the_group(spark, monkeypatch):
+    """An original and copies with up to four words of 146 replaced, many pairs below 0.8: few comparisons for each, not one for each pair."""
+    tried, verified = [], shingles.verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "verified", counted)
+    r = random.Random(9)
+    base, rows = [f"w{k}" for k in range(146)], []
+    for k in range(250):
+        own = list(base)
+        for at in r.sample(range(146), r.randint(1, 4)):
+            own[at] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    rows.append((len(rows), " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, simhash.similar_components(docs).select("doc_id", "component_id").collect()))
+    assert got == want(rows)
+    assert sum(tried) < 5 * len(rows)
