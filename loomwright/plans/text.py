@@ -10,7 +10,6 @@ from loomwright.functions import lexicon as L
 from loomwright.functions import nlp
 from loomwright.operators import keyphrases, phrasecloud, tagger, topics
 from loomwright.plans.catalog import QUERIES, SQL, query, table
-from loomwright.session import durable
 
 CLEAN = C.PRINTABLE.sql("text")
 
@@ -318,8 +317,7 @@ r AS (SELECT s.doc_id, s.phrase, round(s.tf * ln((SELECT count(*) FROM documents
 SELECT doc_id, phrase, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank FROM r) WHERE rank <= 10""",
 )
 def keyphrase_topk(spark: SparkSession, sf: str) -> DataFrame:
-    docs = texts(spark, sf)
-    return keyphrases.top_phrases(durable(keyphrases.candidates(docs), "candidates"), docs.count(), 10)
+    return keyphrases.Corpus(texts(spark, sf)).top_phrases(10)
 
 
 KEYS = "system network report energy information service time people".split()
