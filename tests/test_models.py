@@ -124,3 +124,17 @@ def test_keyphrase_model_against_counting(spark):
         odds = {p: sum(model.logs[a, 1, b] - model.logs[a, 0, b] for a, b in ((1, cut(t, model.tfidf_cuts)), (2, cut(at, model.position_cuts)))) for e, p, t, at in rows if e == d}
         floor = sorted(odds.values())[-3]
         assert len(got[d]) == 3 and all(odds[p] >= floor - 1e-9 for p in got[d])
+
+
+def test_mean_score_is_the_mean_of_scores(spark):
+    df, _ = table(spark)
+    df = df.withColumn("x", F.when(F.col("id") % 9 > 0, F.col("x")))  # some are null
+    fits = [upsell.Additive.fit(df.filter(F.col("id") % 3 != k), ["x", "z"], {}, n_knots=3 + k) for k in range(3)]
+    want = df
+    for k, model in enumerate(fits):
+        want = model.score(want, f"p{k}")
+    want = {r.id: (r.p0 + r.p1 + r.p2) / 3 for r in want.collect()}
+    made = upsell.mean_score(df, fits, ["id", "label"])
+    assert {r.id: r.p for r in made.collect()} == pytest.approx(want, abs=1e-12)
+    assert "pow" not in made._jdf.queryExecution().toString().lower()  # no basis in the plan
+    assert {r.p for r in upsell.mean_score(df, [], ["id"]).collect()} == {0.0}
