@@ -48,11 +48,12 @@ def chain_sql(text: str, steps: list[Step]) -> str:
 # Patterns, headers and word lists that results depend on.
 SPACE = r"[ \t\n\x0B\f\r]"
 PRINTABLE = Step(r"[^\x20-\x7E\t\n\r\x0B\x0C]")
-LINKS = Step(r"(?i)(^|\W)([a-zA-Z]+://|www\.)\w[\w.]*\w", "$1 ")
-MAIL_ADDRESSES = Step(r"(^|\W)\w[\w.]+\w@\w[\w.]+\w", "$1 ")
+LINKS = Step(r"(?i)(^|\W)([a-zA-Z]+://|www\.)\w[\w.]*\w", "$1 ", needs=r"://|[wW]{3}\.")
+MAIL_ADDRESSES = Step(r"(^|\W)\w[\w.]+\w@\w[\w.]+\w", "$1 ", needs="@")
 FILE_NAMES = Step(
     r"(?i)(^|\W)[\w()-_\[\]@~<>.]+\.(com|txt|doc[x]?|xls[s]?|exe|zip|ppt[x]?|rar|img|gif|png|bmp|jp[e]?g|htm[l]?|url)", "$1 ",
     r"(?i)(^|[^\w()-_\[\]@~<>.])[\w()-_\[\]@~<>.]+\.(com|txt|doc[x]?|xls[s]?|exe|zip|ppt[x]?|rar|img|gif|png|bmp|jp[e]?g|htm[l]?|url)",
+    needs=r"\.(?i:com|txt|doc|xls|exe|zip|ppt|rar|img|gif|png|bmp|jpe?g|htm|url)",
 )
 NUMBERS = Step(r"(^|\W)[-+ ]*\d[\d.',]*(\d[eE]?[-+ ]*\d[\d.',]+)?", "$1 ", r"(^|(?:(?<!\W)|\G)[-+ ]|[^\w+ -])[-+ ]*+\d[\d.',]*(\d[eE]?[-+ ]*\d[\d.',]+)?")
 BREAKS_TO_BLANKS = Step(r"(\t|\n)+", " ", r"[\t\n]++")

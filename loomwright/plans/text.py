@@ -10,6 +10,7 @@ from loomwright.functions import lexicon as L
 from loomwright.functions import nlp
 from loomwright.operators import keyphrases, phrasecloud, tagger, topics
 from loomwright.plans.catalog import QUERIES, SQL, query, table
+from loomwright.session import durable
 
 CLEAN = C.PRINTABLE.sql("text")
 
@@ -257,9 +258,9 @@ def label_join_train(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("raw_preprocessed_match", f"SELECT r.doc_id, strlen(r.text) AS raw_bytes, strlen(p.clean) AS clean_bytes FROM documents r JOIN (SELECT doc_id, {C.chain_sql(CLEAN, C.KEA)} AS clean FROM documents) p ON r.doc_id = p.doc_id WHERE length(p.clean) > 0")
 def raw_preprocessed_match(spark: SparkSession, sf: str) -> DataFrame:
-    docs = texts(spark, sf)
-    clean = docs.select("doc_id", F.octet_length(C.kea_clean(F.col("text"), mail=False)).alias("clean_bytes")).filter("clean_bytes > 0")
-    return docs.select("doc_id", F.octet_length("text").alias("raw_bytes")).join(clean, "doc_id")
+    # written first: a filter on what is cleaned would go under it and clean every text once more, as would the other side
+    sizes = durable(texts(spark, sf).select("doc_id", F.octet_length("text").alias("raw_bytes"), F.octet_length(C.kea_clean(F.col("text"), mail=False)).alias("clean_bytes")), "sizes")
+    return sizes.select("doc_id", "raw_bytes").join(sizes.filter("clean_bytes > 0").select("doc_id", "clean_bytes"), "doc_id")
 
 
 WORDS_SQL = f"SELECT doc_id, unnest(regexp_extract_all(lower({CLEAN}), '[a-z]+')) AS token FROM documents"

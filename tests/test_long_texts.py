@@ -69,3 +69,20 @@ def test_mail_chain_against_python(spark):
     texts = [("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))),) for _ in range(1500)]
     got = spark.createDataFrame(texts, "text string").select("text", C.mail_clean(C.printable(F.col("text"))).alias("clean")).collect()
     assert [(r.text, r.clean) for r in got if r.clean != by_python(r.text)][:2] == []
+
+
+def test_needs_leave_no_match_out(spark):
+    rng = random.Random(9)
+    words = ["a", "Z9", " ", "\n", "://", "WWW.", "www", ".", "@", "b.c", ".TXT", ".Jpeg", ".jpg", ".doc", "x", "(", "'", "-", "é", "ſ", "K"]
+    texts = [("".join(rng.choice(words) for _ in range(rng.randint(0, 14))),) for _ in range(4000)]
+    df = spark.createDataFrame(texts, "text string")
+    for step in (C.LINKS, C.MAIL_ADDRESSES, C.FILE_NAMES):
+        assert step.needs
+        both = df.select("text", C.Step(step.pattern, step.put)(F.col("text")).alias("plain"), step(F.col("text")).alias("held"))
+        assert both.filter("plain != held").limit(3).collect() == []
+
+
+def test_texts_are_cleaned_once(spark, small):
+    """A filter on a cleaned text must not clean it again."""
+    found = T.raw_preprocessed_match(spark, small)
+    assert "regexp_replace" not in found._jdf.queryExecution().executedPlan().toString()
