@@ -7,6 +7,8 @@ history then is what has been tagged so far: a fold over each sentence, with all
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ def context(stage: str) -> Column:
     return F.concat_ws(SPLIT, *(F.coalesce(F.col(b), F.lit("")) for b in before), word)
 
 
-def context_of(stage: str, word: str, tags: list[str | None]) -> str | None:
+def context_of(stage: str, word: str, tags: Sequence[str | None]) -> str | None:
     """The same for a word and the tags given so far."""
     if stage == "affix":
         return word[-SUFFIX:] if len(word) >= SUFFIX + STEM else None
@@ -72,10 +74,13 @@ class BackoffTagger:
         """The tags of a sentence's words; base: what the last stage of all says."""
         found: list[str | None] = []
         for word, otherwise in zip(words, base, strict=True):
-            tag = next((t for s in reversed(STAGES) if (c := context_of(s, word, found)) is not None and (t := self.tables[s].get(c))), otherwise)
-            found.append(tag)
+            found.append(self.tag(word, found[-2:], otherwise))
         return found
 
+    def tag(self, word: str, before: Sequence[str | None], otherwise: str | None) -> str | None:
+        """The tag of a word by up to two tags before it."""
+        return next((t for s in reversed(STAGES) if (c := context_of(s, word, before)) is not None and (t := self.tables[s].get(c))), otherwise)
+
     def apply(self, sentences: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """(id, words array<struct<word, tag>>) with tags anew; the tags that come in are what the last stage of all says."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import cleaning as C
 from loomwright.functions import lexicon as L
 from loomwright.functions import nlp
-from loomwright.operators import keyphrases, phrasecloud, tagger, topics
+from loomwright.operators import chunker, keyphrases, phrasecloud, tagger, topics
 from loomwright.plans.catalog import QUERIES, SQL, query, table
 from loomwright.session import durable
 
@@ -100,8 +100,8 @@ def backoff_tags(spark: SparkSession, sf: str) -> DataFrame:
 
     known = sentences(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
     model = tagger.BackoffTagger.train(known, base=nlp.suffix_tag(F.col("word")))
-    found = model.apply(sentences(texts(spark, sf))).select("doc_id", F.explode("words").alias("w"))
-    return found.groupBy("doc_id", F.coalesce("w.tag", F.lit("none")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    found = chunker.each(texts(spark, sf).select("doc_id", "text"), C.printable(F.col("text")), "tags map<string,bigint>", lambda: chunker.tag_counts(model))
+    return found.select("doc_id", F.explode("tags").alias("tag", "n")).groupBy("doc_id", "tag").agg(F.sum("n").alias("n"))
 
 
 SCORES_SQL = ", ".join(f"len(list_intersect(w, {listed(L.STOP_WORDS[x])})) AS {x}" for x in L.LANGUAGES)
@@ -165,8 +165,7 @@ SELECT doc_id, array_to_string(list_transform(list_filter(p, lambda x: coalesce(
   AND NOT list_contains({listed(L.KEA_STOP)}, lower(x.w)) AND length(x.w) BETWEEN 3 AND 19)), lambda x: x.w), ' ') AS kept FROM t""",
 )
 def token_filter_kea(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = nlp.tagged(nlp.tokens(C.kea_clean(F.col("text"), mail=False)))
-    return texts(spark, sf).select("doc_id", F.array_join(nlp.kea_filter(pairs, L.KEA_STOP), " ").alias("kept"))
+    return chunker.each(texts(spark, sf).select("doc_id", "text"), C.kea_clean(F.col("text"), mail=False), "kept string", lambda: chunker.kea_kept(L.KEA_STOP))
 
 
 def lemma_sql(w: str) -> str:
@@ -199,12 +198,8 @@ SELECT doc_id, len(p1) AS n_adjective, len(p2) AS n_noun, array_to_string({one},
 
 
 def _np_chunks(spark: SparkSession, sf: str, infer: bool) -> DataFrame:
-    lines = F.transform(nlp.sentences(C.lda_clean(C.printable(F.col("text")), infer)), lambda s: nlp.encoded(nlp.remap_lda(nlp.tagged(nlp.tokens(C.lower_if_upper(s))))))
-    docs = texts(spark, sf).select("doc_id", F.array_join(lines, "# ").alias("line"))
-    one, two = nlp.chunks(F.col("line"), [nlp.ADJECTIVE_NOUNS, nlp.NOUNS])
-    found = docs.select("doc_id", one.alias("p1"), two.alias("p2"))
-    text = lambda c: F.array_join(nlp.lda_phrases(F.col(c), L.LDA_STOP), " ")
-    return found.select("doc_id", F.size("p1").alias("n_adjective"), F.size("p2").alias("n_noun"), F.concat(text("p1"), F.lit("|"), text("p2")).alias("phrases"))
+    docs = texts(spark, sf).select("doc_id", "text")
+    return chunker.each(docs, C.lda_clean(C.printable(F.col("text")), infer), "n_adjective int, n_noun int, phrases string", lambda: chunker.lda_chunks(L.LDA_STOP))
 
 
 @query("np_chunks_lda", lda_phrases_sql())
@@ -220,8 +215,8 @@ def np_chunks_infer(spark: SparkSession, sf: str) -> DataFrame:
 @query("np_chunks_wcd")
 def np_chunks_wcd(spark: SparkSession, sf: str) -> DataFrame:
     """A fold over tags, which SQL has no plain form for."""
-    docs = texts(spark, sf).select("doc_id", nlp.wcd_text_phrases(C.printable(F.col("text"))).alias("p"))
-    return docs.select("doc_id", F.array_join("p.several", "|").alias("several"), F.array_join("p.single", "|").alias("single"))
+    docs = chunker.each(texts(spark, sf).select("doc_id", "text"), C.BREAKS_TO_SENTENCES(C.printable(F.col("text"))), "several array<string>, single array<string>", chunker.wcd_chunks)
+    return docs.select("doc_id", F.array_join("several", "|").alias("several"), F.array_join("single", "|").alias("single"))
 
 
 @query("bio_without_career", f"SELECT conv_id, turn, array_to_string(list_filter({sentences_sql(CLEAN)}, lambda s: NOT regexp_matches(s, {q('(?i)[ ](' + C.CAREER + ')')})), ' ') AS kept FROM conversations WHERE role = 'assistant'")
@@ -371,7 +366,13 @@ stats AS (SELECT conv_id, phrase, cint, cpub, cbio, len(list_filter(string_split
 
 @query("phrase_counts", f"WITH {BAGS_SQL} SELECT * FROM stats")
 def phrase_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return phrasecloud.phrase_counts(phrasecloud.two_word_phrases(table(spark, sf, "conversations")), "conv_id")
+    return _phrase_counts(table(spark, sf, "conversations"), phrasecloud.two_word_phrases)[0]
+
+
+def _phrase_counts(turns: DataFrame, phrases) -> tuple[DataFrame, int]:
+    parts = phrasecloud.parts_for(turns)
+    return phrasecloud.phrase_counts(phrases(turns), "conv_id", parts), parts
+
 
 
 @query(
@@ -381,15 +382,17 @@ n AS (SELECT conv_id, phrase, w / sum(w) OVER (PARTITION BY conv_id) AS weight F
 SELECT conv_id, phrase, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(weight, 9) DESC, phrase) AS rank FROM n WHERE round(weight, 9) >= 1e-3) WHERE rank <= 100""",
 )
 def phrase_weights_top100(spark: SparkSession, sf: str) -> DataFrame:
-    counts = phrasecloud.phrase_counts(phrasecloud.two_word_phrases(table(spark, sf, "conversations")), "conv_id")
-    return phrasecloud.top_weights(counts, "conv_id")
+    counts, parts = _phrase_counts(table(spark, sf, "conversations"), phrasecloud.two_word_phrases)
+    return phrasecloud.top_weights(counts, "conv_id", parts=parts)
+
 
 
 @query("phrase_cloud_tagged")
 def phrase_cloud_tagged(spark: SparkSession, sf: str) -> DataFrame:
     """The same over tagged noun phrases, whose tag fold SQL has no plain form for."""
-    turns = phrasecloud.noun_phrases(table(spark, sf, "conversations"))
-    return phrasecloud.top_weights(phrasecloud.phrase_counts(turns, "conv_id"), "conv_id")
+    counts, parts = _phrase_counts(table(spark, sf, "conversations", spread=True), phrasecloud.noun_phrases)
+    return phrasecloud.top_weights(counts, "conv_id", parts=parts)
+
 
 
 @query(

@@ -125,3 +125,45 @@ def test_over_odd_sentences(spark):
     found = spark.createDataFrame(texts, "text string").select("text", nlp.wcd_text_phrases(F.col("text")).alias("p"))
     for r in found.select("text", F.array_join("p.several", "|").alias("a"), F.array_join("p.single", "|").alias("b")).collect():
         assert (r.a, r.b) == wcd(r.text), r.text
+
+
+def test_workers_give_what_columns_give(spark):
+    """Words that are tagged once in a worker, against the column expressions that tag each token."""
+    from pyspark.sql import functions as F
+
+    from loomwright.functions import lexicon as L
+    from loomwright.functions import nlp
+    from loomwright.operators import chunker
+
+    rng = random.Random(12)
+    words = ["big", "optical", "network", "systems", "'", "'s", "meeting", "boxes", "glass", "running", "and", ".", "!", ",", "IEEE", "X_1", "the", "A/B", "cities", "-12.5", "12x5", "good", "\n", "\t", "\r\n", "MODEL", "a", "said", "would", "illness", "  ", "(", "#"]
+    df = spark.createDataFrame([(k, None if k == 0 else "".join(rng.choice(words) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(0, 25)))) for k in range(900)], "id int, text string")
+    text = F.col("text")
+    lines = F.transform(nlp.sentences(text), lambda s: nlp.encoded(nlp.remap_lda(nlp.tagged(nlp.tokens(C.lower_if_upper(s))))))
+    one, two = nlp.chunks(F.array_join(lines, "# "), [nlp.ADJECTIVE_NOUNS, nlp.NOUNS])
+    joined = F.concat(F.array_join(nlp.lda_phrases(one, L.LDA_STOP), " "), F.lit("|"), F.array_join(nlp.lda_phrases(two, L.LDA_STOP), " "))
+    wcd = nlp.wcd_text_phrases(text)
+    want = df.select("id", F.array_join(nlp.kea_filter(nlp.tagged(nlp.tokens(text)), L.KEA_STOP), " ").alias("kept"), F.size(one), F.size(two), joined, wcd["several"], wcd["single"])
+    kea = chunker.each(df, text, "kept string", lambda: chunker.kea_kept(L.KEA_STOP))
+    lda = chunker.each(df, text, "a int, n int, phrases string", lambda: chunker.lda_chunks(L.LDA_STOP))
+    both = chunker.each(df, C.BREAKS_TO_SENTENCES(text), "several array<string>, single array<string>", chunker.wcd_chunks)
+    got = kea.join(lda, "id").join(both, "id")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_queries_tag_words_once(spark, small):
+    """No plan has the suffix rules, which columns try on each token."""
+    for query in (T.np_chunks_lda, T.np_chunks_infer, T.np_chunks_wcd, T.token_filter_kea, T.backoff_tags):
+        assert "ould" not in query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_are_exchanged_once(spark):
+    """All groups and joins of phrase counts are by conversation, whose partitions grow in number with the input."""
+    from loomwright.operators import phrasecloud
+
+    rng = random.Random(3)
+    rows = [(c, rng.choice(phrasecloud.SECTIONS), f"{rng.choice('abc')}word {rng.choice('xyz')}word") for c in range(40) for _ in range(9)]
+    counts = phrasecloud.phrase_counts(spark.createDataFrame(rows, "conv_id int, section string, phrase string").repartition(5), "conv_id", 40)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\), (\w+)", plan))
+    assert len(dealt) == 1 and all(re.fullmatch(r"conv_id#\d+", by) and int(n) == 40 for by, n, _ in dealt) and "Join" not in plan
